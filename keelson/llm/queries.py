@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, sharding, simhash
+from . import bpe, cover, quality, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
 #: By name, as in opN_<name>.
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op5_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op5_quality_rules, op8_difference_cover, op10_simhash)}
 SQL: dict[str, str] = {}

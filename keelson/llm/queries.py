@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cover, quality, sharding, simhash
+from . import bpe, cover, quality, sharding, simhash, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: By name, as in opN_<name>.
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op5_quality_rules, op8_difference_cover, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op3_suffix_array, op5_quality_rules, op8_difference_cover, op10_simhash)}
 SQL: dict[str, str] = {}

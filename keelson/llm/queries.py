@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cover, quality, sharding, simhash, suffix
+from . import bpe, cover, licenses, pieces, quality, sharding, simhash, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,18 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.counted(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover.digest(table(spark, sf_dir, "documents"))
 
@@ -40,5 +48,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: By name, as in opN_<name>.
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op3_suffix_array, op5_quality_rules, op8_difference_cover, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op3_suffix_array, op4_token_counts, op5_quality_rules, op6_license_scan, op8_difference_cover, op10_simhash)}
 SQL: dict[str, str] = {}

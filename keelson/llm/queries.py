@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cover, licenses, pieces, quality, sharding, simhash, suffix
+from . import bpe, chat, cover, leaks, licenses, pieces, quality, sharding, simhash, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,14 +39,22 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(table(spark, sf_dir, "conversations"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
 #: By name, as in opN_<name>.
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op3_suffix_array, op4_token_counts, op5_quality_rules, op6_license_scan, op8_difference_cover, op10_simhash)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op3_suffix_array, op4_token_counts, op5_quality_rules, op6_license_scan, op7_decontamination, op8_difference_cover, op9_chat_rotation, op10_simhash)}
+SQL = {"op9_chat_rotation": chat.SQL}

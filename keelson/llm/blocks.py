@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text in a block, about, and blocks for each bucket.
 BLOCK, PER_BUCKET = 4 << 20, 4
@@ -49,7 +50,12 @@ class Block:
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.texts = [texts[i] for i in order]
-        self.number = table.column("block")[0].as_py()
+        self.number = table.column("__block")[0].as_py()
+        self.order, self.table = order, table
+
+    def column(self, name: str) -> pa.ChunkedArray:
+        """A column that was kept, in the block's order."""
+        return self.table.column(name).take(pa.array(self.order, pa.int64()))
 
     def id_array(self) -> pa.Array:
         return pa.array([None if x == NO_ID else x for x in self.ids.tolist()], pa.int64())
@@ -109,14 +115,14 @@ def shared_keys(table: pa.Table, often: int) -> pa.Table:
     return told(rows)
 
 
-def run(docs: DataFrame, name: Callable, hang: Callable, settle: Callable, apply: Callable, out: str, often: int = 1 << 40, block: int = BLOCK) -> DataFrame:
+def run(docs: DataFrame, name: Callable, hang: Callable, settle: Callable, apply: Callable, out: str | T.StructType, often: int = 1 << 40, block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
     """The five steps. name(Block) -> keys, counts; hang(Block, shared keys, which are hot, buckets) -> a sent() table;
-    settle(table) -> a told() table; apply(Block, blobs) -> a table of out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    settle(table) -> a told() table; apply(Block, blobs) -> a table of out. keep: other columns that apply needs."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{c}`") for c in keep))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = max(8, math.ceil(total / block))
     buckets = max(16, blocks // PER_BUCKET)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("__block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def first(table: pa.Table) -> pa.Table:
         b = Block(table)
@@ -137,10 +143,10 @@ def run(docs: DataFrame, name: Callable, hang: Callable, settle: Callable, apply
     def fifth(table: pa.Table, heard: pa.Table) -> pa.Table:
         return apply(Block(table), [unpack(x) for x in heard.column("data").to_pylist()])
 
-    shared = dealt.groupBy("block").applyInArrow(first, SENT).groupBy("bucket").applyInArrow(second, TOLD)
-    hung = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(third, SENT)
+    shared = dealt.groupBy("__block").applyInArrow(first, SENT).groupBy("bucket").applyInArrow(second, TOLD)
+    hung = dealt.groupBy("__block").cogroup(shared.groupBy("block")).applyInArrow(third, SENT)
     settled = hung.groupBy("bucket").applyInArrow(settle, TOLD)
-    return dealt.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(fifth, out)
+    return dealt.groupBy("__block").cogroup(settled.groupBy("block")).applyInArrow(fifth, out)
 
 
 def member(keys: np.ndarray, among: np.ndarray) -> np.ndarray:

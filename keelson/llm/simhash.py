@@ -172,5 +172,13 @@ def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4, text: str = "
     return prints.join(named, F.col("fingerprint") == F.col("__fp")).drop("__fp")
 
 
+def one_of_each(docs: DataFrame, size: int = 4, bits: int = 4) -> DataFrame:
+    """Of each group the row whose id names it. Rows without an id stay if their group has none; of equal rows one stays."""
+    found = near_duplicates(docs, size, bits)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"])
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import blocks
 from .cover import mix, runs
@@ -281,8 +282,27 @@ def _splitters(docs: DataFrame, block: int) -> np.ndarray:
     return np.unique(lead[np.arange(1, buckets) * len(lead) // buckets])
 
 
-def _run(docs: DataFrame, apply, out: str, block: int, often: int) -> DataFrame:
-    return blocks.run(docs, _name, _hang(_splitters(docs, block)), _settle, apply, out, often, block)
+def _run(docs: DataFrame, apply, out, block: int, often: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    return blocks.run(docs, _name, _hang(_splitters(docs, block)), _settle, apply, out, often, block, keep)
+
+
+def cleaned(docs: DataFrame, block: int = blocks.BLOCK, often: int = OFTEN) -> DataFrame:
+    """The rows of docs with what stays in place of the text (what is left of a character that was cut goes too), without those of
+    which nothing stays. A column n_chars, if there is one, counts anew; all others stay."""
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+
+    def apply(b: blocks.Block, heard: list[tuple]) -> pa.Table:
+        n, _, kept = _applied(b, heard)
+        texts = [k.decode("utf-8", "ignore") if c else k.decode() for k, c in zip(kept, n.tolist(), strict=True)]
+        stay = np.array([bool(t) or not c for t, c in zip(texts, n.tolist(), strict=True)], bool)
+        new = {"doc_id": b.id_array(), "text": pa.array(texts, pa.string()), **{c: b.column(c) for c in keep}}
+        return pa.table(new).filter(pa.array(stay))
+
+    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *(docs.schema[c] for c in keep)])
+    done = _run(docs, apply, out, block, often, keep)
+    if "n_chars" in keep:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def dedup(docs: DataFrame, block: int = blocks.BLOCK, often: int = OFTEN) -> DataFrame:

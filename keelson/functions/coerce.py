@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 # What stands for true and for false.
 TRUE, FALSE = ("1", "on", "t", "true", "y", "yes"), ("0", "off", "f", "false", "n", "no")
-_INT = r"^\s*[+-]?[0-9]+(_[0-9]+)*([.]0*)?\s*$"
+_INT = r"^\s*[+-]?[0-9]+(_[0-9]+)*([.]0+)?\s*$"
 _FLOAT = r"(?i)^\s*[+-]?([0-9]+(_[0-9]+)*([.]([0-9]+(_[0-9]+)*)?)?(e[+-]?[0-9]+)?|[.][0-9]+(e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
 #: Types that are not decoded from JSON; a type may be optional by a leading ?.
 SCALARS = ("str", "int", "float", "bool")

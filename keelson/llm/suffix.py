@@ -159,14 +159,14 @@ def _hang(splitters: np.ndarray):
         own, count = np.unique(keys, return_counts=True)
         place = blocks.member(keys >> U(16), shared)
         keep = (place >= 0) | (count[blocks.member(keys, own)] > 1)
-        doc, at, place = doc[keep], at[keep], place[keep]
+        doc, at, place, keys = doc[keep], at[keep], place[keep], keys[keep]
         if not len(doc):
             return []
         often = np.zeros(len(doc), bool)
         often[place >= 0] = hot[place[place >= 0]]
         # in order of (id, start), so that the first of equal ones is the earliest
         order = np.lexsort((at, block.ids[doc]))
-        doc, at, often = doc[order], at[order], often[order]
+        doc, at, often, keys = doc[order], at[order], often[order], keys[order]
         context, before, after = around(block.texts, doc, at)
         sized = np.concatenate([context, before[:, None].astype(np.uint8), after[:, None].astype(np.uint8)], axis=1)
         _, once, back = np.unique(np.ascontiguousarray(sized).view(f"V{sized.shape[1]}").ravel(), return_index=True, return_inverse=True)
@@ -193,7 +193,9 @@ def _hang(splitters: np.ndarray):
             for bucket, p in blocks.by_bucket(hh, buckets):
                 rows.append((bucket, block.number, blocks.pack("strings", hh[p], mm[p], block.ids[dd[p]], dd[p].astype(np.int32), ss[p].astype(np.int32))))
         y = np.sort(once[~often[once]])
-        bucket = np.searchsorted(splitters, digits(context[y])[:, 0], side="right") if len(y) else y
+        # where there are more buckets than ranges, a range is split by the prefix, which keeps equal prefixes together
+        part_of = max(1, buckets // (len(splitters) + 1))
+        bucket = np.searchsorted(splitters, digits(context[y])[:, 0], side="right") * part_of + (keys[y] >> U(8)).astype(np.int64) % part_of if len(y) else y
         by = np.argsort(bucket, kind="stable")
         for part in np.split(by, np.nonzero(np.diff(bucket[by]))[0] + 1) if len(by) else []:
             p = y[part]

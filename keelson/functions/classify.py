@@ -104,7 +104,7 @@ def encrypted_line(line: Column) -> Column:
 
 
 def sops_line(line: Column) -> Column:
-    return line.rlike(r'^(sops:|\s*"sops":|sops_version=|sops_mac=)')
+    return line.rlike(r'^(sops:\s*$|\s*"sops"\s*:|sops_version\s*=|sops_mac\s*=)')
 
 
 def comment_line(line: Column) -> Column:
@@ -212,6 +212,19 @@ def env_file_name(path: Column) -> Column:
     return name.startswith(".env.") | name.endswith(".env")
 
 
+def clear_file(path: Column, allowed: tuple[str, ...] = ()) -> Column:
+    """A file that is meant to be plain: by its suffix, or listed by path or by the end of it."""
+    return any_of(path.endswith(".clear"), *((path == a) | path.endswith("/" + a) for a in allowed))
+
+
+def secret_file(path: Column) -> Column:
+    return path.endswith(".secret")
+
+
+def keys_file(path: Column) -> Column:
+    return F.substring_index(path, "/", -1) == ".env.keys"
+
+
 def name_encodes(name: Column, environment: Column, default: str = "production") -> Column:
     """Whether a file name says that it is for an environment; a name that says none is for the default one."""
     ends = (F.concat(F.lit(head), environment, F.lit(tail)) for head, tail in ((".env.", ""), ("-", ".env"), (".", ".env"), ("_", ".env")))

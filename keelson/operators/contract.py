@@ -88,6 +88,16 @@ def mistyped(variables: DataFrame, fields: DataFrame, keys: tuple[str, ...] = ()
     return open_.select(*keys, "field", "value", coerce.message(F.col("value"), F.col("type")).alias("message")).where("message is not null")
 
 
+def constrained(bound: DataFrame, checks: dict[str, tuple[str, str]], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, field, value, message) of bound values that fail a check of their field: an SQL condition on value, and what to say. No
+    checks, no work."""
+    out = None
+    for field, (condition, said) in checks.items():
+        bad = bound.where((F.col("field") == field) & ~F.coalesce(F.expr(condition), F.lit(False))).select(*keys, "field", "value", F.lit(said).alias("message"))
+        out = bad if out is None else out.unionByName(bad)
+    return out if out is not None else bound.select(*keys, "field", "value", F.lit("").alias("message")).limit(0)
+
+
 def violations(variables: DataFrame, fields: DataFrame, keys: tuple[str, ...] = (), extra_policy: str = "forbid", check_encryption: bool = True, case_sensitive: bool = False, ignore_empty: bool = False, files: DataFrame | None = None) -> DataFrame:
     """(keys, kind, level, name, message) of all checks."""
     text = lambda s: F.format_string(s, F.col("name"))

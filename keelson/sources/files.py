@@ -21,7 +21,25 @@ from ..functions import classify
 MOST_BYTES = 10 << 20
 # What companions of environment files end in, folders that a walk doesn't enter, and the bytes that text has.
 COMPANIONS = (".example", ".sample", ".template", ".keys")
-PRUNED = (".git", ".svn", ".hg", "node_modules", "__pycache__", ".venv", "venv", ".tox", ".nox", "dist", "build", "target", "vendor", ".idea", ".vscode")
+PRUNED = (
+    "node_modules", ".git", ".venv", "venv", "__pycache__", ".next", "dist", "build", ".tox", ".nox", "coverage", ".gradle", "target",
+    "vendor", ".idea", ".vscode", ".terraform", "bin", "obj", ".cache", ".pytest_cache", ".mypy_cache", ".ruff_cache", "htmlcov", ".svn", ".hg",
+)
+# What a collection leaves out unless told otherwise.
+IGNORED = (
+    ".env.example", ".env.sample", ".env.template", "*.md", "*.rst", "*.adoc", "*.min.js", "*.min.css", "*.bundle.js", "*.chunk.js",
+    "__pycache__/**", "*.pyc", "*.pyo", "*.pyd", ".Python", ".venv/**", "venv/**", "env/**", "ENV/**", ".tox/**", ".nox/**",
+    ".pytest_cache/**", ".mypy_cache/**", ".ruff_cache/**", ".hypothesis/**", "*.egg-info/**", "*.egg", "dist/**", "build/**", "*.whl",
+    ".coverage", "htmlcov/**", ".cache/**", "node_modules/**", ".npm/**", ".yarn/**", ".pnp.*", "*.log", "npm-debug.log*",
+    "yarn-debug.log*", "yarn-error.log*", "lerna-debug.log*", ".pnpm-debug.log*", ".next/**", "out/**", ".nuxt/**", ".parcel-cache/**",
+    ".svelte-kit/**", "coverage/**", ".turbo/**", "target/**", "*.class", "*.jar", "*.war", "*.ear", ".gradle/**", ".mvn/**", "bin/**",
+    "obj/**", "*.dll", "*.exe", "*.pdb", "packages/**", ".vs/**", "*.user", "*.suo", "vendor/**", "[!.]*.test", "*.out", ".bundle/**",
+    "vendor/bundle/**", "*.gem", ".git/**", ".svn/**", ".hg/**", ".bzr/**", ".idea/**", ".vscode/**", "*.swp", "*.swo", "*~",
+    ".project", ".classpath", ".settings/**", "*.sublime-*", ".DS_Store", "Thumbs.db", "desktop.ini", ".docker/**", ".terraform/**",
+    "*.tfstate", "*.tfstate.*", "*.zip", "*.tar", "*.tar.gz", "*.rar", "*.7z", "*.iso", "*.dmg", "*.pkg", "*.jpg", "*.jpeg", "*.png",
+    "*.gif", "*.bmp", "*.ico", "*.svg", "*.mp3", "*.mp4", "*.avi", "*.mov", "*.pdf", "*.woff", "*.woff2", "*.ttf", "*.eot", "logs/**",
+    "tmp/**", "temp/**", "*.tmp", "*.temp", "*.bak", "*.backup",
+)
 TEXT = {8, 9, 10, 11, 12, 13, *range(0x20, 0x100)}
 BOMS = ((codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"), (codecs.BOM_UTF8, "utf-8-sig"))
 
@@ -79,6 +97,13 @@ def listing(files: DataFrame, configured: tuple[str, ...] = ()) -> DataFrame:
     return files.where(wanted).select("path").distinct().orderBy("path")
 
 
+def watch(spark: SparkSession, path: str, glob: str = "*", per_batch: int = 1000) -> DataFrame:
+    """A stream of (project, path, ts, op) of the files that appear or are rewritten below a folder; only their status is read."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    found = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_batch).load(path)
+    return found.select(F.lit(path).alias("project"), "path", F.col("modificationTime").alias("ts"), F.lit("write").alias("op"))
+
+
 def changed(files: DataFrame, changes: DataFrame) -> DataFrame:
     """Files that a change list (path, status) adds, copies, modifies or renames."""
     return files.join(changes.where(F.col("status").substr(1, 1).isin("A", "C", "M", "R")).select("path"), "path", "left_semi")

@@ -318,3 +318,31 @@ def test_reports(spark, tmp_path):
     both = reports.union({"z": spark.createDataFrame([finding("p", 1, "r", "high")], findings.FINDING), "a": reports.infisical(spark, write("i", [{"RuleID": "q", "File": "x"}]))})
     assert both.count() == 2
     assert dotenv.parse("").assignments == []
+
+
+def test_history_mixed_files_and_constraints(spark):
+    secret = token("gh", "p_", "a" * 36)
+    blobs = spark.createDataFrame([("b1", f"k={secret}"), ("b2", "x")], "blob string, content string")
+    commits = spark.createDataFrame([("b1", "f", "c1", "me", "d"), ("b1", "g", "c2", "me", "d")], "blob string, path string, commit_sha string, commit_author string, commit_date string")
+    assert {(r.path, r.commit_sha, r.rule_id) for r in findings.scan_history(blobs, commits).collect()} == {("f", "c1", "github-pat"), ("g", "c2", "github-pat")}
+    texts = [("a", "A=ENC[AES256_GCM,x]\nB=plain\nC_unencrypted=ok\nB=again\nsops_mac=1"), ("b", "A=x\nsops_encrypted_regex=^A"), ("c", "A=x\nB_p=1\nsops_unencrypted_suffix=_p")]
+    df = spark.createDataFrame(texts, "path string, content string")
+    assert {(r.path, r.name, r.line_number) for r in findings.surviving_plaintext(df).collect()} == {("a", "B", 2), ("c", "A", 1)}
+    assert [r.path for r in findings.mixed_files(df).collect()] == ["a"]
+    bound = spark.createDataFrame([("port", "70000"), ("host", "h")], "field string, value string")
+    checks = {"port": ("try_cast(value as int) between 1 and 65535", "no port"), "host": ("length(value) > 0", "empty")}
+    assert [(r.field, r.message) for r in contract.constrained(bound, checks).collect()] == [("port", "no port")]
+    assert contract.constrained(bound, {}).count() == 0
+
+
+def test_api(spark):
+    from keelson import api
+
+    dev, prod = "A=1\nB=true\nMY_KEY=x\n", "A=1\nB=yes\nC=3\n"
+    files_ = spark.createDataFrame([("dev", dev), ("prod", prod)], "path string, content string")
+    assert {(r.name, r.diff_type) for r in api.diff(files_, "dev", "prod").collect()} == {("C", "added"), ("MY_KEY", "removed")}
+    fields = api.init(files_.where("path = 'dev'"))
+    assert {(r.field, r.type, r.sensitive) for r in fields.collect()} == {("A", "int", False), ("B", "bool", False), ("MY_KEY", "str", True)}
+    kinds = {(r.path, r.kind) for r in api.validate(files_, fields).collect()}
+    assert kinds == {("prod", "missing_required"), ("prod", "extra"), ("dev", "unencrypted")}
+    assert api.guard(files_.withColumn("tracked", F.lit(True))).count() == 0

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -64,7 +65,8 @@ def test_groups_like_brute_force(spark):
                 x ^= 1 << rnd.randrange(64)
             prints[c * 40 + i] = x
     distinct = sorted({x for x in prints.values()})
-    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in distinct], "fingerprint long")
+    signed = [x - (1 << 64) if x >> 63 else x for x in distinct]
+    df = spark.createDataFrame([(x, x) for x in signed], "node long, f0 long")
     for points in (3, 5):
         rows = simhash.components(simhash.links(df, points=points)).collect()
         root = {r.node % (1 << 64): r.root % (1 << 64) for r in rows}
@@ -76,15 +78,64 @@ def test_groups_like_brute_force(spark):
         assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
-def test_tree_finds_all(monkeypatch):
+def sets_of(linked, n):
+    out = {}
+    for i in range(n):
+        out.setdefault(int(linked.root[i]), set()).add(i)
+    return sorted(map(sorted, out.values()))
+
+
+@pytest.mark.parametrize(("words", "bits"), [(1, 4), (4, 44)])
+def test_tree_and_crowds_like_all_pairs(monkeypatch, words, bits):
     monkeypatch.setattr(simhash, "PAIRS", 64)
-    rnd = np.random.default_rng(4)
-    base = rnd.integers(0, 1 << 63, 30, dtype=np.uint64)
-    x = np.unique(np.concatenate([base ^ (np.uint64(1) << rnd.integers(0, 64, 30).astype(np.uint64)) for _ in range(12)] + [base]))
-    got = {(int(a), int(b)) for i, j in simhash.join(x, x, 1, 4) for a, b in zip(i, j, strict=True)}
-    part = lambda v: int(simhash._part(np.array([v], np.uint64), 1)[0])
-    want = {(int(a), int(b)) for a in x for b in x if (int(a) ^ int(b)).bit_count() <= 4 and (part(a) ^ part(b)).bit_count() <= 1}
-    assert want <= got
+    rng = np.random.default_rng(words)
+    base = rng.integers(0, 1 << 63, (12, words), dtype=np.uint64)
+    rows = [b.copy() for b in base]
+    for _ in range(300):
+        x = rows[rng.integers(len(rows))].copy()
+        for _ in range(rng.integers(0, bits)):
+            x[rng.integers(words)] ^= np.uint64(1) << np.uint64(rng.integers(64))
+        rows.append(x)
+    prints = np.unique(np.array(rows), axis=0)
+    n, places = len(prints), np.arange(len(prints))
+    want = simhash.Linked(n)
+    i, j = np.nonzero(simhash._apart(prints[:, None], prints[None]) <= bits)
+    want.join(i, j)
+    got = simhash.Linked(n)
+    for band in simhash.NARROW if words == 1 else simhash.WIDE:
+        simhash.link(prints, places, places, band, bits, got)
+    if words == 1:
+        assert sets_of(got, n) == sets_of(want, n)
+    else:
+        assert len(sets_of(want, n)) <= len(sets_of(got, n)) <= len(sets_of(want, n)) + 1
+    crowd = simhash.Linked(n)
+    simhash._dense(prints, places, places, bits, crowd)
+    assert sets_of(crowd, n) == sets_of(want, n)
+
+
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (WORD.findall(t.translate(LOWER)) for t in (a, b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rnd = random.Random(9)
+    vocab = [f"w{i}" for i in range(2000)]
+    texts, origin = [], []
+    for k in range(40):
+        w = rnd.choices(vocab, k=rnd.randrange(150, 600))
+        for copy in range(3):
+            edited = list(w)
+            for _ in range(copy * len(w) // 120):  # about 5 shingles an edit
+                edited[rnd.randrange(len(w))] = "edit"
+            texts.append(" ".join(edited))
+            origin.append(3 * k)
+    texts += [" ".join(rnd.choices(vocab, k=200)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")).collect()}
+    near = [i for i in range(120) if i != origin[i] and jaccard(texts[i], texts[origin[i]]) >= 0.8]
+    assert len(near) > 60 and sum(i in kept for i in near) <= len(near) // 20
+    assert kept >= {*origin, *range(120, 160)}
 
 
 def test_null_ids_repeats_and_empty(spark):

@@ -33,8 +33,9 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = leaks.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("not leaked").select(*docs.columns)
+    own = {n: f"__own_{n}" for n, _ in leaks.NEW if n in docs.columns}  # the operator would replace these
+    found = leaks.decontaminate(docs.withColumnsRenamed(own), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("not leaked").drop(*(n for n, _ in leaks.NEW)).withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

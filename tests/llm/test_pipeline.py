@@ -80,3 +80,14 @@ def test_run_and_nulls(spark, tmp_path, stages):
     for _, stage in p.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.collect() == []
+
+
+def test_clashing_columns_stay(spark):
+    names = ("quality", "kept", "ids", "score", "leaked", "item_id", "n_items", "node", "f0", "shard", "block", "bucket", "doc")
+    text = " ".join(f"w{i}" for i in range(120))
+    row = (1, text, "en", "s", len(text), *("own" for _ in names))
+    docs = spark.createDataFrame([row], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for _, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert [tuple(r) for r in docs.collect()] == [row]
+    assert p.STAGES[-1][1](spark, docs, SF).first().round_trip

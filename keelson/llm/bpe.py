@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import codecs
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of a batch that are worked on at a time, and the most matches that a process remembers.
-ROWS, REMEMBERED = 128, 300_000
+ROWS, REMEMBERED = 64, 250_000
 
 
 def byte_to_char() -> list[str]:
@@ -32,16 +32,45 @@ def byte_to_char() -> list[str]:
     return [chr(b if b in own else next(spare)) for b in range(256)]
 
 
-class ByteBPE:
-    """Encoder and decoder for a file of ranks."""
+@lru_cache(2)
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+class Decoder:
+    """The bytes of each id, by way of the vocabulary's characters and the reversed byte table."""
+
+    def __init__(self, path: str):
+        chars = byte_to_char()
+        back = {c: b for b, c in enumerate(chars)}
+        vocabulary = {r: "".join(map(chars.__getitem__, t)) for t, r in read_ranks(path).items()}
+        self.token_bytes = {r: bytes(map(back.__getitem__, t)) for r, t in vocabulary.items()}
+
+    def decode(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.token_bytes.__getitem__, ids))
+
+    def pieces(self, ids: list[int]) -> list[str]:
+        """The text that each id completes: a character split over ids goes to the last of them, and what is no UTF-8 becomes U+FFFD."""
+        reader = codecs.getincrementaldecoder("utf-8")("replace")
+        return [reader.decode(self.token_bytes[i], final=k == len(ids) - 1) for k, i in enumerate(ids)]
+
+    def offsets(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """For each id, the first byte that it covers and the character of the text that has this byte."""
+        ends = np.cumsum(np.fromiter((len(self.token_bytes[i]) for i in ids), np.int64, len(ids)))
+        starts = np.concatenate([[0], ends[:-1]]) if len(ids) else ends
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return starts, (np.cumsum((raw & 0xC0) != 0x80) - 1)[starts]
+
+
+class Encoder:
+    """Encoder for a file of ranks. What it remembers of a match are the ids' bytes as 32-bit numbers, a fifth of what a list takes."""
 
     def __init__(self, path: str, pattern: str):
         import regex
         from tokenizers import Tokenizer, models, pre_tokenizers
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        chars = byte_to_char()
+        ranks, chars = read_ranks(path), byte_to_char()
         text = lambda token: "".join(map(chars.__getitem__, token))
         by_rank = sorted(ranks, key=ranks.__getitem__)
         # any two neighbours whose joined bytes have a rank may merge, so every split of a token is a merge
@@ -49,38 +78,33 @@ class ByteBPE:
         self.model = Tokenizer(models.BPE(vocab={text(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.find = regex.compile(pattern).findall
-        back = {c: b for b, c in enumerate(chars)}
-        #: the bytes of each id, by way of the vocabulary's characters and the reversed byte table
-        self.token_bytes = {i: bytes(map(back.__getitem__, t)) for t, i in self.model.get_vocab(with_added_tokens=False).items()}
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         found = [self.find(x) for x in texts]
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
         new = list(set(chain.from_iterable(found)).difference(self.seen))
-        self.seen.update(zip(new, (e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [list(chain.from_iterable(map(self.seen.__getitem__, x))) for x in found]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, ids))
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            ids = (np.array(e.ids, np.int32).tobytes() for e in self.model.encode_batch_fast(part, add_special_tokens=False))
+            self.seen.update(zip(part, ids, strict=True))
+        return [np.frombuffer(b"".join(map(self.seen.__getitem__, x)), np.int32) for x in found]
 
-    def pieces(self, ids: list[int]) -> list[str]:
-        """The text that each id completes: a character split over ids goes to the last of them, and what is no UTF-8 becomes U+FFFD."""
-        reader = codecs.getincrementaldecoder("utf-8")("replace")
-        return [reader.decode(self.token_bytes[i], final=k == len(ids) - 1) for k, i in enumerate(ids)]
 
-    def offsets(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """For each id, the first byte that it covers and the character of the text that has this byte."""
-        ends = np.cumsum(np.fromiter((len(self.token_bytes[i]) for i in ids), np.int64, len(ids)))
-        starts = np.concatenate([[0], ends[:-1]]) if len(ids) else ends
-        raw = np.frombuffer(text.encode(), np.uint8)
-        return starts, (np.cumsum((raw & 0xC0) != 0x80) - 1)[starts]
+@lru_cache(2)
+def encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
 
 @lru_cache(2)
-def codec(path: str, pattern: str) -> ByteBPE:
-    return ByteBPE(path, pattern)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
+def id_lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0] + [len(r) for r in rows], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
 
 def _with(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -93,31 +117,34 @@ def _schema(df: DataFrame, new: list[tuple[str, T.DataType]]) -> T.StructType:
     return T.StructType([f for f in df.schema if f.name not in names] + [T.StructField(n, t) for n, t in new])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", offsets: bool = False) -> DataFrame:
-    """Adds the ids of each text, and with offsets also byte_starts and char_starts of each id."""
-    new = [(ids, T.ArrayType(T.IntegerType()))] + [(n, T.ArrayType(T.LongType())) for n in ("byte_starts", "char_starts") if offsets]
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", offsets: bool = False, decoded: str | None = None) -> DataFrame:
+    """Adds the ids of each text, and with offsets also byte_starts and char_starts of each id. decoded names a column for what the ids
+    decode to, as decode() has it, in the same pass and so in the same Python processes."""
+    new = [(ids, T.ArrayType(T.IntegerType()))] + [(decoded, T.BinaryType())] * bool(decoded) + [(n, T.ArrayType(T.LongType())) for n in ("byte_starts", "char_starts") if offsets]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)
+        bpe, table = encoder(path, pattern), decoder(path) if offsets or decoded else None
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 texts = [x or "" for x in batch.column(text).to_pylist()]
                 got = bpe.encode(texts)
-                cols = {ids: pa.array(got, pa.list_(pa.int32()))}
+                cols = {ids: id_lists(got)}
+                if decoded:
+                    cols[decoded] = pa.array([table.decode(i.tolist()) for i in got], pa.binary())
                 if offsets:
-                    both = [bpe.offsets(x, i) for x, i in zip(texts, got, strict=True)]
+                    both = [table.offsets(x, i.tolist()) for x, i in zip(texts, got, strict=True)]
                     cols |= {n: pa.array([b[k] for b in both], pa.list_(pa.int64())) for k, n in enumerate(("byte_starts", "char_starts"))}
                 yield _with(batch, cols)
 
     return docs.mapInArrow(run, _schema(docs, new))
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes that the ids stand for; they need not be UTF-8. Null ids: no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)
+        bpe = decoder(path)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
@@ -128,7 +155,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row: encoded, then decoded from the ids."""
-    both = decode(encode(docs.select("doc_id", "text"), path, pattern).select("doc_id", "ids"), path, pattern)
+    both = encode(docs.select("doc_id", "text"), path, pattern, decoded="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4, bands: tuple
     distinct = checkpoint(prints.groupBy("node", *names).agg(F.min("doc_id").alias("least")))
     found = components(links(distinct.drop("least"), bits, bands, points)).withColumnRenamed("node", "__node")
     rooted = distinct.join(found, F.col("node") == F.col("__node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that both sides of the join are exchanges and a large group can be split over tasks
+    least = checkpoint(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = checkpoint(rooted.select("node", "root").join(least, "root").select(F.col("node").alias("__node"), "component_id"))
     return prints.join(named, F.col("node") == F.col("__node")).drop("__node", "node")
 

@@ -138,6 +138,39 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept >= {*origin, *range(120, 160)}
 
 
+def test_stage_like_brute_force_jaccard(spark):
+    rnd = random.Random(10)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = [None, "", "one two", "One  two", "a b c d e f " * 300 + "x y z u v", "a b c d e f " * 300 + "p q r s t"]
+    for _ in range(60):
+        w = rnd.choices(vocab, k=rnd.randrange(20, 200))
+        for _ in range(4):
+            edited = list(w)
+            for _ in range(rnd.randrange(1 + len(w) // 25)):  # similarities around 0.8
+                edited[rnd.randrange(len(w))] = rnd.choice(vocab)
+            texts.append(" ".join(edited))
+    root = list(range(len(texts)))
+    near = [(i, j, jaccard(texts[i] or "", texts[j] or "")) for i in range(len(texts)) for j in range(i)]
+    for _ in texts:
+        for i, j, s in near:
+            if s >= 0.8:
+                root[i] = root[j] = min(root[i], root[j])
+    assert sum(0.6 < s < 0.8 for _, _, s in near) > 60 < sum(0.8 <= s < 1 for _, _, s in near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert kept == {i for i, r in enumerate(root) if i == r}
+
+
+def test_odd_buckets_bound_the_difference():
+    rng = np.random.default_rng(12)
+    for n in (0, 1, 15, 16, 17, 500, 5000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for cut in (0, n // 10, n // 2, n):
+            b = np.concatenate([a[cut:], rng.integers(0, 1 << 63, cut // 2, dtype=np.uint64)])
+            assert simhash.differ(simhash.odd(a), simhash.odd(b)) <= cut + cut // 2
+            assert cut == 0 or simhash.differ(simhash.odd(a), simhash.odd(b)) > 0 or n < 20
+
+
 def test_null_ids_repeats_and_empty(spark):
     docs = spark.createDataFrame([(None, "same text of words here"), (7, "same text of words here"), (7, "same text of words here")], "doc_id long, text string")
     assert [r.component_id for r in simhash.digest(docs).collect()] == [7, 7, 7]

@@ -5,6 +5,11 @@ documents have is a seed, counted over all documents, so that each part of an it
 has leaked. Where a document has enough seeds of an item, Smith-Waterman alignment of the words around them with the item
 gives the score: 2 for a match, -1 for a mismatch or a gap, as a share of what the whole item would score.
 
+Edits in every n-gram leave no such seed, so single words are seeds too, and these miss no leak: a score of LEAK takes matches of
+that share of an item's words, hence some of any larger rest of them, for which its rarest words are taken; and the run of
+the document's words that it spans scores as much even if every word of it that the item has is taken for a match, and has
+that many of the item's words.
+
 The benchmark is a query set that is read in parts of bounded size; the documents pass each part and are never shuffled.
 
 Defined results: a null or empty text holds nothing; items without words are never held; of items with the same score
@@ -67,16 +72,18 @@ def align(item: np.ndarray, words: np.ndarray) -> int:
 class Items:
     """A part of the benchmark: the words of each item, and its seeds."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], leak: float = LEAK):
+        self.leak = leak
         rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
         self.ids = [r[0] for r in rows]
         words, grams, starts = hashed([r[1] for r in rows])
         self.words = [words[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
         self.grams = [g[g > 0] if (g := grams[a:b]).any() else g[:0] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.grams]))
+        self.vocabulary, self.times = zip(*(np.unique(w, return_counts=True) for w in self.words)) if rows else ((), ())
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.grams, *self.vocabulary]))
 
     def seeded(self, documents: np.ndarray) -> Items:
-        """Chooses the seeds, given in how many documents each of the known n-grams is."""
+        """Chooses the seeds, given in how many documents each of the known n-grams and words is."""
         seeds, items, places = [], [], []
         for i, g in enumerate(self.grams):
             n = documents[np.searchsorted(self.known, g)]
@@ -88,36 +95,91 @@ class Items:
         order = np.argsort(np.array(seeds, np.uint64), kind="stable")
         self.seeds, self.of, self.place = np.array(seeds, np.uint64)[order], np.array(items, int)[order], np.array(places, int)[order]
         self.needed = np.maximum(1, np.ceil(SEEDS * np.bincount(self.of, minlength=len(self.ids))).astype(int))
+        sizes = np.array([len(w) for w in self.words], int)
+        self.least = np.maximum(1, np.ceil(2 * sizes * self.leak - 1e-9)).astype(int)  # the score of a leak
+        self.matches = (self.least + 1) // 2
+        self.asked = np.maximum(1, self.matches // 3)  # so many of the rarest words are in any leak
+        self.span = 3 * sizes - self.least  # of the document's words, at most
+        rare = [np.unique(w[np.argsort(documents[np.searchsorted(self.known, w)], kind="stable")[: len(w) - self.matches[i] + self.asked[i]]]) for i, w in enumerate(self.words) if len(w) >= NGRAM]
+        long = np.nonzero(sizes >= NGRAM)[0]
+        flat = np.concatenate([np.zeros(0, np.uint64), *rare])
+        order = np.argsort(flat, kind="stable")
+        self.rare, self.rare_from = np.unique(flat[order], return_index=True)
+        self.rare_from = np.append(self.rare_from, len(flat))
+        self.rare_of = np.repeat(long, [len(r) for r in rare])[order]
         return self
 
+    def spans(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, from, to): the ranges of these words where an item may have the score of a leak, all of them."""
+        if not len(self.rare):
+            return
+        place = np.minimum(np.searchsorted(self.rare, words), len(self.rare) - 1)
+        at = np.nonzero(self.rare[place] == words)[0]
+        if not len(at):
+            return
+        first = self.rare_from[place[at]]
+        n = self.rare_from[place[at] + 1] - first
+        item = self.rare_of[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        at = np.repeat(at, n)
+        order = np.argsort(item, kind="stable")  # at stays sorted within an item
+        at, item = at[order], item[order]
+        other = np.arange(len(at)) + self.asked[item] - 1
+        end = np.minimum(other, len(at) - 1)
+        near = np.nonzero((other == end) & (item[end] == item) & (at[end] - at < self.span[item]))[0]
+        begins, item = at[near], item[near]
+        reach = self.span[item]
+        new = np.ones(len(near), bool)
+        new[1:] = (item[1:] != item[:-1]) | (np.diff(begins) > 2 * reach[1:])
+        cut = np.append(np.nonzero(new)[0], len(near)).tolist()
+        for g, h in zip(cut[:-1], cut[1:], strict=True):
+            i, reach_i = int(item[g]), int(reach[g])
+            lo, hi = max(0, int(begins[g]) - reach_i), int(begins[h - 1]) + 2 * reach_i
+            own = self.vocabulary[i]
+            word = np.minimum(own.searchsorted(words[lo:hi]), len(own) - 1)
+            same = own[word] == words[lo:hi]
+            if not self._enough(i, word[same]):
+                continue
+            total = np.where(same, 2, -1).cumsum()
+            ends = np.nonzero(total - np.minimum.accumulate(np.concatenate([[0], total[:-1]])) >= self.least[i])[0]
+            for run in np.split(ends, np.nonzero(np.diff(ends) > reach_i)[0] + 1) if len(ends) else []:
+                x, y = max(0, int(run[0]) + 1 - reach_i), int(run[-1]) + 1
+                if self._enough(i, word[x:y][same[x:y]]):
+                    yield i, lo + x, lo + y
+
+    def _enough(self, i: int, found: np.ndarray) -> bool:
+        """Whether these words, places in the item's vocabulary, could match as many of the item's as a leak takes, each word as often as it has it."""
+        return np.minimum(np.bincount(found, minlength=len(self.times[i])), self.times[i]).sum() >= self.matches[i]
+
     def found(self, words: np.ndarray, grams: np.ndarray) -> list[tuple[int, float]]:
         """(item, score) for the items that a document with these words and n-grams may hold."""
+        best: dict[int, int] = {}
+        for i, lo, hi in [*self.spans(words), *self.hits(grams)]:
+            best[i] = max(best.get(i, 0), align(self.words[i], words[lo:hi]))
+        return [(i, b / (2 * len(self.words[i]))) for i, b in sorted(best.items()) if b]
+
+    def hits(self, grams: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, from, to): the ranges around n-grams that are seeds, also of what is less than a leak."""
         first, last = np.searchsorted(self.seeds, grams, "left"), np.searchsorted(self.seeds, grams, "right")
         at = np.nonzero((last > first) & (grams > 0))[0]
         if not len(at):
-            return []
+            return
         n = last[at] - first[at]
         seed = np.repeat(first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at, item, place = np.repeat(at, n), self.of[seed], self.place[seed]
         order = np.lexsort((at, item))
         at, item, place = at[order], item[order], place[order]
-        out = []
         for hits in np.split(np.arange(len(at)), np.nonzero(np.diff(item))[0] + 1):
             i = int(item[hits[0]])
-            target, best = self.words[i], 0
-            reach = len(target) + len(target) // 4 + NGRAM
+            size = len(self.words[i])
+            reach = size + size // 4 + NGRAM
             # hits that one occurrence of the item could give are aligned together
             for group in np.split(hits, np.nonzero(np.diff(at[hits]) > reach)[0] + 1):
                 if len(np.unique(place[group])) >= self.needed[i]:
-                    lo, hi = max(0, int(at[group[0]]) - reach), int(at[group[-1]]) + reach
-                    best = max(best, align(target, words[lo:hi]))
-            if best:
-                out.append((i, best / (2 * len(target))))
-        return out
+                    yield i, max(0, int(at[group[0]]) - reach), int(at[group[-1]]) + reach
 
 
 def _documents(docs: DataFrame, items: Items) -> np.ndarray:
-    """In how many documents each known n-gram is."""
+    """In how many documents each known n-gram and word is."""
     known = docs.sparkSession.sparkContext.broadcast(items.known)  # of one part: bounded by PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,17 +188,18 @@ def _documents(docs: DataFrame, items: Items) -> np.ndarray:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in chunks([len(t or "") for t in texts], 1 << 20):
-                _, g, starts = hashed(texts[a:b])
-                at = np.minimum(np.searchsorted(grams, g), max(0, len(grams) - 1))
-                hit = np.nonzero(grams[at] == g)[0] if len(grams) else at[:0]
-                pairs = np.unique(np.stack([np.searchsorted(starts, hit, "right"), at[hit]]), axis=1)
-                total += np.bincount(pairs[1], minlength=len(grams))
+                w, g, starts = hashed(texts[a:b])
+                for h in (w, g):
+                    at = np.minimum(np.searchsorted(grams, h), max(0, len(grams) - 1))
+                    hit = np.nonzero(grams[at] == h)[0] if len(grams) else at[:0]
+                    pairs = np.unique(np.searchsorted(starts, hit, "right") * len(grams) + at[hit])
+                    total += np.bincount(pairs % max(1, len(grams)), minlength=len(grams))
         some = np.nonzero(total)[0]
         yield pa.RecordBatch.from_pydict({"gram": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
 
     counted = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     out = np.zeros(len(items.known), np.int64)
-    for r in counted.collect():  # at most a row for each n-gram of one part
+    for r in counted.collect():  # at most a row for each n-gram and word of one part
         out[r.gram] = r.n
     return out
 
@@ -151,7 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, leak: float = LEAK, par
     out = docs.select(*(F.col(f"`{f.name}`") for f in plain), F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("score"), F.lit(False).alias("leaked"))
     for k in range(parts):
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()  # about `part` bytes
-        items = Items([(r.item_id, r.text) for r in rows])
+        items = Items([(r.item_id, r.text) for r in rows], leak)
         items.seeded(_documents(docs, items))
         shared = docs.sparkSession.sparkContext.broadcast(items)
 

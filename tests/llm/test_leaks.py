@@ -56,6 +56,35 @@ def test_like_brute_force(spark):
                 assert r.item_id == k and abs(r.score - s) < 1e-9 and r.leaked
 
 
+def test_insertions_and_deletions_like_brute_force(spark):
+    rnd = random.Random(11)
+    vocab = ["w" + str(i) for i in range(400)]
+    items = [(i, " ".join(rnd.choices(vocab, k=rnd.choice([3, 8, 15, 20, 38, 40])))) for i in range(40)]
+    docs, seedless = [], 0
+    for d in range(400):
+        source = items[d % 40][1].split()
+        share, insert = rnd.choice([0, 0.1, 0.3]), rnd.choice([0.3, 0.5])
+        part = []
+        for k, w in enumerate(source):
+            if rnd.random() >= share:
+                part.append(w)
+            if d < 80 and k % 2 or d >= 80 and rnd.random() < insert:
+                part.append(rnd.choice(["new", "other", rnd.choice(vocab)]))
+        docs.append((d, " ".join(rnd.choices(vocab, k=rnd.randrange(80)) + part + rnd.choices(vocab, k=rnd.randrange(80)))))
+    words = [leaks.hashed([x])[0] for _, x in items]
+    grams = [leaks.hashed([x])[1] for _, x in items]
+    got = {r.doc_id: r for r in leaks.decontaminate(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for d, t in docs:
+        mine, own, _ = leaks.hashed([t])
+        scores = [leaks.align(w, mine) / (2 * len(w)) for w in words]
+        held = [i for i, s in enumerate(scores) if s >= leaks.LEAK]
+        seedless += sum(not len(np.intersect1d(grams[i][grams[i] > 0], own)) for i in held)
+        assert got[d].n_items == len(held) and got[d].leaked == bool(held), d
+        if held:
+            assert (got[d].item_id, got[d].score) == (int(np.argmax(scores)), max(scores))
+    assert seedless > 20
+
+
 def test_documents_and_empty(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     rows = leaks.digest(docs, bench).collect()

@@ -100,13 +100,13 @@ class Items:
         self.matches = (self.least + 1) // 2
         self.asked = np.maximum(1, self.matches // 3)  # so many of the rarest words are in any leak
         self.span = 3 * sizes - self.least  # of the document's words, at most
-        rare = [np.unique(w[np.argsort(documents[np.searchsorted(self.known, w)], kind="stable")[: len(w) - self.matches[i] + self.asked[i]]]) for i, w in enumerate(self.words) if len(w) >= NGRAM]
-        long = np.nonzero(sizes >= NGRAM)[0]
+        rare = [np.unique(w[np.argsort(documents[np.searchsorted(self.known, w)], kind="stable")[: len(w) - self.matches[i] + self.asked[i]]]) for i, w in enumerate(self.words) if len(w)]
+        some = np.nonzero(sizes)[0]
         flat = np.concatenate([np.zeros(0, np.uint64), *rare])
         order = np.argsort(flat, kind="stable")
         self.rare, self.rare_from = np.unique(flat[order], return_index=True)
         self.rare_from = np.append(self.rare_from, len(flat))
-        self.rare_of = np.repeat(long, [len(r) for r in rare])[order]
+        self.rare_of = np.repeat(some, [len(r) for r in rare])[order]
         return self
 
     def spans(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:

@@ -85,6 +85,14 @@ def test_insertions_and_deletions_like_brute_force(spark):
     assert seedless > 20
 
 
+def test_items_shorter_than_a_seed(spark):
+    items, docs = ["one two", "lone", "x y z", "..."], ["a one TWO b", "lone", "a b", "one c two", "", "nothing else"]
+    found = leaks.decontaminate(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    words = [w for x in items if len(w := leaks.hashed([x])[0])]
+    want = [sum(leaks.align(w, leaks.hashed([t])[0]) / (2 * len(w)) >= leaks.LEAK for w in words) for t in docs]
+    assert want[:2] == [1, 1] and {r.doc_id: r.n_items for r in found.collect()} == dict(enumerate(want))
+
+
 def test_documents_and_empty(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     rows = leaks.digest(docs, bench).collect()

@@ -31,9 +31,11 @@ def indexed(variables: DataFrame, keys: tuple[str, ...], case_sensitive: bool =
 
 
 def collisions(variables: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Names that differ in case alone: the folded name, all names in order of their line, and the one whose value counts."""
+    """Names that differ in case alone: the folded name, all spellings in order of their last line, and the one whose value counts. A
+    name that is assigned again in the same spelling is no collision. Spellings are merged first, so a group has a row for each."""
+    spelled = variables.groupBy(*keys, "name").agg(F.max("line_number").alias("line_number"))
     named = F.array_sort(F.collect_list(F.struct("line_number", "name")))
-    grouped = variables.groupBy(*keys, F.lower("name").alias("folded")).agg(named.alias("n")).where(F.size("n") > 1)
+    grouped = spelled.groupBy(*keys, F.lower("name").alias("folded")).agg(named.alias("n")).where(F.size("n") > 1)
     return grouped.select(*keys, "folded", F.transform("n", lambda x: x["name"]).alias("names"), F.element_at("n", -1)["name"].alias("kept"))
 
 

@@ -99,9 +99,17 @@ def schema_for(files: DataFrame, schemas: dict[str, str], default: str | None) -
     return files.withColumn("schema", F.coalesce(F.element_at(known, F.col("environment")), F.lit(default)))
 
 
+def _shape(pattern: Column) -> Column:
+    """Shell patterns as anchored expressions: * and ? stay within a part of a path, [abc], [!abc] and [^abc] are one character."""
+    plain = F.regexp_replace(pattern, r"([.+(){}|$\\])", r"\\$1")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?<!\[)\^", r"\\^"), r"\[!", "[^")
+    shape = F.concat(F.lit("^"), F.replace(F.replace(plain, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]")), F.lit("$"))
+    return F.when(pattern.rlike(r"\[[^\]]*$"), F.lit("(?!)")).otherwise(shape)  # without its end a class matches nothing
+
+
 def more_patterns(patterns: DataFrame, mapped: DataFrame) -> DataFrame:
     """(project, pattern): the watch patterns of each project and the mapped file names that none of them covers."""
-    shape = F.concat(F.lit("^"), F.replace(F.regexp_replace("pattern", r"([.+(){}|^$\\])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("$"))
+    shape = _shape(F.col("pattern"))
     names = mapped.select("project", F.col("name"))
     known = patterns.groupBy("project").agg(F.collect_set(shape).alias("shapes"))
     bare = names.join(known, "project", "left").where(~F.exists(F.coalesce("shapes", F.array().cast("array<string>")), lambda s: F.regexp_like("name", s)))

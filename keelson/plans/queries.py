@@ -120,7 +120,8 @@ def latest_assignment(spark, sf_dir):
 
 
 @query("""
-SELECT lower(p_name) AS folded, count(*) AS n_names, arg_max(CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END, p_partkey) AS kept FROM part GROUP BY lower(p_name) HAVING count(*) > 1
+WITH n AS (SELECT CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS name, p_partkey FROM part)
+SELECT lower(name) AS folded, count(DISTINCT name) AS n_names, arg_max(name, p_partkey) AS kept FROM n GROUP BY lower(name) HAVING count(DISTINCT name) > 1
 """)
 def case_collisions(spark, sf_dir):
     """G3."""

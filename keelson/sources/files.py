@@ -10,6 +10,7 @@ from datetime import timedelta
 from difflib import get_close_matches
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ IGNORED = (
     "*.gif", "*.bmp", "*.ico", "*.svg", "*.mp3", "*.mp4", "*.avi", "*.mov", "*.pdf", "*.woff", "*.woff2", "*.ttf", "*.eot", "logs/**",
     "tmp/**", "temp/**", "*.tmp", "*.temp", "*.bak", "*.backup",
 )
-TEXT = {8, 9, 10, 11, 12, 13, *range(0x20, 0x100)}
+TEXT = np.isin(np.arange(256), [8, 9, 10, 11, 12, 13, *range(0x20, 0x100)])
 BOMS = ((codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"), (codecs.BOM_UTF8, "utf-8-sig"))
 
 
@@ -61,7 +62,7 @@ def decoded(raw: bytes | None) -> str | None:
     name = next((codec for bom, codec in BOMS if raw.startswith(bom)), None) or _utf16(head)
     if name:
         text = raw.decode(name, "replace")
-    elif head and sum(b not in TEXT for b in head) / len(head) > 0.05:
+    elif head and (~TEXT[np.frombuffer(head, np.uint8)]).mean() > 0.05:
         return None
     else:
         text = raw.decode("utf-8", "ignore")
@@ -75,9 +76,14 @@ def decode_text(raw: pd.Series) -> pd.Series:
 
 
 def read_files(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES, pruned: tuple[str, ...] = PRUNED) -> DataFrame:
-    """(path, content) of all text files below a path. Size and folders are filtered before any content is read."""
+    """(path, content) of all text files below a path. Size and folders are filtered before any content is read; of folders only those
+    below the path count, not those on the way to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= most_bytes)
-    files = files.where(~F.exists(F.split("path", "/"), lambda part: part.isin(*pruned)))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    above = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).depth()
+    parts = F.split(F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/")  # the first is empty
+    folders = F.slice(parts, above + 2, F.greatest(F.size(parts) - above - 2, F.lit(0)))
+    files = files.where(~F.exists(folders, lambda part: part.isin(*pruned)))
     return files.select("path", decode_text("content").alias("content")).where("content is not null")
 
 

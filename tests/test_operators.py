@@ -1,5 +1,6 @@
 import json
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -105,7 +106,9 @@ def test_scalars(spark):
     assert col(spark, texts, classify.redact) == ["", "*", "***", "*" * 8, "abcd*fghi", "***"]
     assert all(len(a) == len(b) for a, b in zip(col(spark, texts, classify.redact), texts, strict=True))
     codes = ["config.Password", "a?.readToken()", "Xk9.mQ2vLp8wRt4nZs6yBdFh", "plain", "p->field"]
-    assert col(spark, codes, classify.member_access) == [findings._code(c) for c in codes] == [True, True, False, False, True]
+    assert [classify.member_access(c) for c in codes] == [True, True, False, False, True]
+    more = {"a.b": True, "a().b": False, "a.b( )": True, "a.b(x)": False, "$x.y": True, "this . props->apiKey": True, "a.": False, ".a": False, "a..b": False, "1a.b": False, "obj.qwrtpsd": False, "obj.qwrtpsd()": True, "é.b": False, " a.b": False}
+    assert {v: classify.member_access(v) for v in more} == more
     shapes = ["{T:G}|{Message}|{X}|{Y}", "%Y-%m-%d", "{{a}} {{b}}", "plain"]
     assert [s >= 2 for s in col(spark, shapes, classify.template_score)] == [findings._template(s) for s in shapes]
     assert col(spark, [None, "", "abc"], lambda v: classify.redact_keyed(v, "s"))[:2] == [None, "<empty>"]
@@ -114,11 +117,54 @@ def test_scalars(spark):
     assert col(spark, [".env", "a.env"], lambda v: classify.name_encodes(v, F.lit("production"))) == [True, True]
     lines = ['K="encrypted:x"', "note encrypted: x", "K=ENC[AES256_GCM,x]", "K=ENC[x]", "# K=encrypted:x"]
     assert col(spark, lines, classify.encrypted_line) == [True, False, True, False, False]
-    assert col(spark, lines, classify.agent_encrypted_line) == [True, False, True, True, True]
+    assert col(spark, lines, classify.agent_encrypted_line) == [True, False, True, True, False]
     assert col(spark, ["A=1", "A=", "A=encrypted:x", "sops_mac=x", "# A=1", 'A="" # c', "DOTENV_PUBLIC_KEY=x"], classify.plaintext_secret_line) == [True, False, False, False, False, False, False]
     assert col(spark, ["A=encrypted:1", "sops_version=3", "A=1"], classify.backend) == ["dotenvx", "sops", None]
 
 
+def test_agent_and_editor_verdicts(spark):
+    lines = ['K="encrypted:BDqb+/9z=="', "K=encrypted:AbC=", "K='ENCRYPTED:x' # note", "export K=ENC[x]", "NOTE=not encrypted: yet", "DOTENV_PUBLIC_KEY_PROD=encrypted:x", "sops_mac=ENC[x]", "sops_age__list=ENC[x]", "sops_token=ENC[x]", "  # K=encrypted:x", "encrypted:x", "K=a=encrypted:x"]
+    assert col(spark, lines, classify.agent_encrypted_line) == [True, True, True, True, False, False, False, False, True, False, False, False]
+    files = {
+        "A=encrypted:x==\n# note\nB=": True,
+        "A=encrypted:x\nB=plain": False,
+        "A=encrypted:x\nDOTENV_PUBLIC_KEY=03ab\nsops_mac=x\nsops_pgp_1=y": True,
+        "A=encrypted:x\nsops_token=plain": False,
+        "A=\nB=''": False,
+        "": False,
+        "A=encrypted:x\nB=\"\" # empty": True,
+    }
+    got = col(spark, list(files), lambda v: classify.agent_encrypted(F.split(v, "\n")))
+    assert dict(zip(files, got, strict=True)) == files
+    editor = {"DOTENV_PUBLIC_KEY=03ab": True, "DOTENV_PUBLIC_KEY_CI = 03ab": True, "# DOTENV_PUBLIC_KEY=03ab": False, "A=encrypted:x": True, "A=1": False, "X_DOTENV_PUBLIC_KEY=1": False}
+    got = col(spark, list(editor), lambda v: classify.editor_encrypted(F.split(v, "\n")))
+    assert dict(zip(editor, got, strict=True)) == editor
+
+
+def test_name_assigned_twice_is_no_collision(spark):
+    rows = [("f", "A", 1), ("f", "A", 2), ("f", "B", 3), ("f", "b", 4), ("f", "B", 5), ("g", "b", 1)]
+    got = contract.collisions(spark.createDataFrame(rows, "path string, name string, line_number int"), ("path",)).collect()
+    assert [tuple(r) for r in got] == [("f", "b", ["b", "B"], "B")]
+
+
+def test_walk_prunes_below_its_root_only(spark, tmp_path):
+    root = tmp_path / "build" / "app"
+    for name in ("a.env", "src/b.env", "node_modules/c.env", "src/build/d.env", "src/vendor", "x/target/deep/e.env"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("A=1")
+    for path in (str(root), f"file://{root}/", f"{tmp_path}/*/app"):
+        got = sorted(r.path.split("/app/")[1] for r in files.read_files(spark, path).collect())
+        assert got == ["a.env", "src/b.env", "src/vendor"]
+
+
+def test_pattern_extension(spark):
+    patterns = spark.createDataFrame([("p", ".env*"), ("p", "a?.txt"), ("p", "[bc].env"), ("p", "[!x]y"), ("p", "[z"), ("p", "1+1")], "project string, pattern string")
+    names = [".env.prod", "ab.txt", "abc.txt", "b.env", "d.env", "zy", "xy", "z", "[z", "1+1", "11"]
+    mapped = spark.createDataFrame([("p", n) for n in names], "project string, name string")
+    got = {r.pattern for r in reconcile.more_patterns(patterns, mapped).collect()}
+    assert got == {".env*", "a?.txt", "[bc].env", "[!x]y", "[z", "1+1", "abc.txt", "d.env", "xy", "z", "11"}
+
+
 def test_all_rules_compile_and_find():
     assert len(rules.RULES) == 92 and len({r.id for r in rules.RULES}) == 92 and len(rules.compiled()) == 92
     assert sum(r.gated for r in rules.RULES) == 5 and [r.id for r in rules.RULES if r.whole] == ["gcp-service-account"]
@@ -140,6 +186,33 @@ def test_all_rules_compile_and_find():
     assert ("gcp-service-account", 1, 2) in [x[:3] for x in whole]
 
 
+def test_needles_miss_nothing():
+    # every rule on every line, without the texts that gate it
+    def plainly(text):
+        out = []
+        lowered = text.lower()
+        for at, line in enumerate(text.splitlines()):
+            if not line.strip() or findings._quiet(line, ("#",)):
+                continue
+            for rule, pattern, _ in rules.compiled():
+                if rule.whole or rule.gated and not any(k in lowered for k in rule.keywords):
+                    continue
+                for m in pattern.finditer(line):
+                    secret = m.group(1) if m.re.groups else m.group()
+                    if secret is None or findings._EC_KEY.match(secret):
+                        continue
+                    if rule.id == "generic-secret" and (findings.bits(secret) < findings.SECRET_BITS or secret.startswith(("$", "%", "{", "\\${")) or classify.member_access(secret)):
+                        continue
+                    out.append((rule.id, at + 1, m.start() + 1, secret, None))
+        return out
+
+    words = ["\u017fecret", "pa\u017f\u017fword", "to\u212aen", "TOKEN", "Secret", "\u0130", "=", ":", " ", "\n", "\u2028", "#", "'", '"', "Xk9-mQ2vLp8wRt4nZs6yBdFh", "api_key", "ghp_" + "a" * 36, "AKIA" + "A" * 16, "redis://:", "x@h", "authorization: bearer ", "eyJa.eyJb.c", "twilio SK" + "0" * 32, "é"]
+    rnd = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rnd.choices(words, k=rnd.randrange(12)))
+        assert findings.scan_text(text) == plainly(text), text
+
+
 def test_high_entropy():
     lines = ["k=aB3dE5gH7jK9mN1pQ2sT4vW6xYzZ0", "u=https://aB3dE5gH7jK9mN1pQ3sT5vW7", "w=abcdefghijklmnopqrstuvwxyz", "// k=aB3dE5gH7jK9mN1pQ2sT4vW6xYzZ0", "f={T:G}|{Message}|{aB3}|{Y}x"]
     assert [(r, n) for r, n, *_ in findings.scan_text("\n".join(lines), entropy=True, patterns=False)] == [("high-entropy-string", 1)]
@@ -172,6 +245,8 @@ def test_verdicts(spark):
     df = spark.createDataFrame(rows, findings.FINDING)
     runs = spark.createDataFrame([("native", None, 1), ("x", "boom", 0)], "scanner string, error string, files_scanned long")
     code = lambda d, **k: findings.exit_code(d, **k).first().exit_code
+    asked = spark.createDataFrame([("x", "boom", True)], "scanner string, error string, explicit boolean")
+    assert [code(df.limit(0), runs=asked), code(df.limit(0), runs=asked.withColumn("explicit", F.lit(False)))] == [5, 0]
     assert [code(df), code(df, fail_on="critical"), code(df, runs=runs, fail_on="critical"), code(df.where("severity = 'info'")), code(df.limit(0), runs=runs), code(df.limit(0))] == [2, 0, 5, 0, 5, 0]
     assert [(r.severity, r.path, r.line_number) for r in findings.ordered(df).collect()] == [("high", "a", 9), ("high", "a", None), ("low", "b", 2), ("info", "a", 3)]
     assert {r.severity: r.n for r in findings.by_severity(df).collect()} == {"critical": 0, "high": 2, "medium": 0, "low": 1, "info": 1}

@@ -1,12 +1,13 @@
 """SimHash fingerprints and their groups at a small Hamming distance, by vantage-point shards and trees; and groups by the Jaccard
-similarity of shingles, for which fingerprints only propose pairs.
+similarity of shingles, for which fingerprints only say who may belong together.
 
 All 64 bits of a fingerprint are nearly as far from any vantage point (32 bits or so, give or take 4), so a tree over
 whole fingerprints prunes next to nothing at 4 bits. The fingerprints are therefore cut into parts: two that differ in at
-most 4 bits differ in at most 1 in some of three parts. Each part has a few fixed vantage points, and the distances to
+most 4 bits differ in at most 1 in some of three parts. Each part has vantage points, and the distances to
 them, the rings, name a shard. By the triangle bound a neighbour at distance 1 is exactly one ring further in or out
 from every vantage point, so a fingerprint is sent to its own shard and, as a query, to the overlapping shards that lie
-outwards from the first point. A shard joins its members and queries by a local tree with the same bounds and full
+outwards from the first point. As there are more fingerprints there are more points, up to one for each bit, which tell every
+value of the part from every other. A shard joins its members and queries by a local tree with the same bounds and full
 checks, and returns only who belongs with whom, not all pairs. Connected components of that are taken across shards.
 
 Equal fingerprints are merged before all this. Defined results: a null or empty text has the fingerprint zero, which is
@@ -24,21 +25,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, materialise
+from .common import checkpoint, looked_up, materialise
 from .cover import mix
 from .words import chunks, joined, xxh64
 
 #: Word, low bit and width of each part: of a fingerprint of 64 bits, whose parts meet all that differ in at most 5; and of one of
-#: 256 bits, whose parts meet nearly all that differ in up to a sixth of the bits; words 4 to 7 are the same bits dealt anew (see one_of_each).
+#: 256 bits, whose parts meet nearly all that differ in up to a sixth of the bits (see similar_groups).
 NARROW = ((0, 0, 22), (0, 22, 21), (0, 43, 21))
 WIDE = tuple((word, low, 16) for word in range(4) for low in (0, 16, 32, 48))
-TWICE = tuple((word, low, 16) for word in range(8) for low in (0, 16, 32, 48))
-#: The parts that first join crowds of near copies.
-FEW = tuple((word, 0, 16) for word in range(4))
-#: The vantage points of a part: as many of these constants' bits as it is wide.
+#: The first vantage points of a part: as many of these constants' bits as it is wide; and by how many of them are used, the rows,
+#: members and queries, that the largest shard has for each fingerprint, if the bits of parts as above are even.
 POINTS = (0x0000000000000000, 0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x00FF00FF00FF00FF)
+SHARE = {2: 0.195, 4: 0.042}
+#: Rows of a shard from which on every bit is a vantage point; rows of shards that are worked on in one go.
+MOST, ROWS = 200_000, 200_000
 #: Bytes of text worked on at a time, and fingerprint pairs compared at a time.
 TEXT, PAIRS = 1 << 20, 1 << 19
+#: Texts, and shingles of them, that are compared with each other in one go.
+GROUP, SHINGLES = 2000, 1 << 20
 
 
 def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,12 +87,6 @@ def _prints(hashes: np.ndarray, doc: np.ndarray, texts: int, words: int) -> np.n
     return out
 
 
-def dealt(prints: np.ndarray) -> np.ndarray:
-    """Fingerprints of 256 bits and, as four more words, the same bits such that each part has one of every former part."""
-    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little").reshape(-1, 16, 16)
-    return np.hstack([prints, np.packbits(bits.transpose(0, 2, 1).reshape(-1, 256), axis=1, bitorder="little").view("<u8")])
-
-
 def fingerprinted(docs: DataFrame, size: int = 4, words: int = 1, text: str = "text") -> DataFrame:
     """doc_id, node and words f0, f1 and so on of each row; node names the fingerprint: the one word itself, or a hash of all."""
     names = [f"f{w}" for w in range(words)]
@@ -136,19 +134,7 @@ class Linked:
                 root[:] = root[root]
 
 
-class Proposed:
-    """Pairs that may be similar: of sets whose sizes allow it, and not in one group yet."""
-
-    def __init__(self, n: np.ndarray, group: np.ndarray, similar: float):
-        self.n, self.group, self.similar, self.pairs = n, group, similar, [np.zeros((2, 0), int)]
-
-    def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        low, high = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
-        may = (self.group[i] != self.group[j]) & (low >= self.similar * high)
-        self.pairs.append(np.stack([np.maximum(i[may], j[may]), np.minimum(i[may], j[may])]))
-
-
-def link(prints: np.ndarray, queries: np.ndarray, members: np.ndarray, band: tuple[int, int, int], bits: int, linked: Linked | Proposed, depth: int = 0) -> None:
+def link(prints: np.ndarray, queries: np.ndarray, members: np.ndarray, band: tuple[int, int, int], bits: int, linked: Linked, depth: int = 0) -> None:
     """Links every query (place in prints) with every member at most bits apart whose part differs in one bit at most: a vantage-point
     tree over the part, with checks of whole fingerprints at its leaves."""
     if not len(queries) or not len(members):
@@ -160,7 +146,7 @@ def link(prints: np.ndarray, queries: np.ndarray, members: np.ndarray, band: tup
     point = part[(depth * 7919) % len(members)]
     near = np.bitwise_count(part ^ point).astype(int)
     if (part == point).all():
-        (_dense if isinstance(linked, Linked) else _crowd)(prints, queries, members, bits, linked)
+        _dense(prints, queries, members, bits, linked)
         return
     asked = np.bitwise_count(_part(prints[queries], band) ^ point).astype(int)
     # members in rings, queries wherever the triangle bound lets them have a neighbour
@@ -168,161 +154,78 @@ def link(prints: np.ndarray, queries: np.ndarray, members: np.ndarray, band: tup
         link(prints, queries[np.abs(asked - r) <= 1], members[near == r], band, bits, linked, depth + 1)
 
 
-def _leaf(prints: np.ndarray, queries: np.ndarray, members: np.ndarray, bits: int, linked: Linked | Proposed) -> None:
+def _leaf(prints: np.ndarray, queries: np.ndarray, members: np.ndarray, bits: int, linked: Linked) -> None:
     step = max(1, PAIRS // len(members))
     for at in range(0, len(queries), step):
         i, j = np.nonzero(_apart(prints[queries[at : at + step], None], prints[members][None]) <= bits)
         linked.join(queries[at + i], members[j])
 
 
-def _dense(prints: np.ndarray, queries: np.ndarray, members: np.ndarray, bits: int, linked: Linked) -> None:
+def _dense(prints: np.ndarray, queries: np.ndarray, members: np.ndarray, bits: int, linked: Linked, leaders: int = 32) -> None:
     """For many fingerprints with the same part: leaders first link all that is near them, which joins a crowd of near copies in
-    one pass each; only fingerprints that are not in one set yet are then compared."""
-    everyone = np.concatenate([queries, members])
+    one pass each; then only what isn't in the largest set yet is compared with all."""
+    everyone = np.unique(np.concatenate([queries, members]))
     rest = everyone
-    while len(rest):
+    for _ in range(leaders):
+        if not len(rest):
+            break
         near = _apart(prints[rest], prints[rest[0]][None]) <= bits
         linked.join(rest[near], np.full(near.sum(), rest[0]))
         rest = rest[~near]
-    sets = [members[linked.root[members] == r] for r in np.unique(linked.root[members])]
-    for own in sets:
-        # those that may still join: their sets change as links are found
-        for r in np.unique(linked.root[queries]):
-            if r != linked.root[own[0]] and linked.root[r] != linked.root[own[0]]:
-                _leaf(prints, queries[linked.root[queries] == linked.root[r]], own, bits, linked)
+    roots, size = np.unique(linked.root[everyone], return_counts=True)
+    others = everyone[linked.root[everyone] != roots[np.argmax(size)]]
+    for at in range(0, len(everyone), PAIRS):
+        if len(others):
+            _leaf(prints, others, everyone[at : at + PAIRS], bits, linked)
 
 
-def _crowd(prints: np.ndarray, queries: np.ndarray, members: np.ndarray, bits: int, proposed: Proposed) -> None:
-    """For many fingerprints with the same part: those of the largest group are not compared with each other."""
-    groups, n = np.unique(proposed.group[members], return_counts=True)
-    main = groups[np.argmax(n)]
-    own, asks = proposed.group[members] == main, proposed.group[queries] == main
-    _leaf(prints, queries[~asks], members, bits, proposed)
-    if not own.all():
-        _leaf(prints, queries[asks], members[~own], bits, proposed)
-
-
-def _rings(points: int, band: tuple[int, int, int]) -> list[Column]:
+def _copies(k: int, band: tuple[int, int, int], points: int | None) -> Column:
+    """An array of (band, shard, query) for the k-th part of a fingerprint: its own shard, and those that lie outwards."""
     word, low, width = band
-    mask = (1 << width) - 1
-    part = F.shiftrightunsigned(F.col(f"f{word}"), low).bitwiseAND(F.lit(mask))
-    return [F.bit_count(part.bitwiseXOR(F.lit(p & mask))) for p in POINTS[:points]]
-
-
-def _sent(prints: DataFrame, bands: tuple, points: int, names: list[str]) -> DataFrame:
-    """The named columns of each fingerprint for every shard that it is a member of or asks."""
-    copies = []
-    for k, band in enumerate(bands):
-        rings = _rings(points, band)
-        name = lambda shift, k=k, rings=rings: F.xxhash64(F.lit(k), *(r + s for r, s in zip(rings, shift, strict=True)))
-        outwards = [(1, *((1 if j >> i & 1 else -1) for i in range(points - 1))) for j in range(1 << (points - 1))]
-        copies.append(F.struct(F.lit(k).alias("band"), name((0,) * points).alias("shard"), F.lit(False).alias("query")))
-        copies += [F.struct(F.lit(k).alias("band"), name(s).alias("shard"), F.lit(True).alias("query")) for s in outwards]
-    return prints.select(*names, F.explode(F.array(*copies)).alias("x")).select("x.*", *names)
-
-
-def links(prints: DataFrame, bits: int = 4, bands: tuple = NARROW, points: int = 4) -> DataFrame:
+    part = F.shiftrightunsigned(F.col(f"f{word}"), low).bitwiseAND(F.lit((1 << width) - 1))
+    copy = lambda shard, query: F.struct(F.lit(k).alias("band"), shard.alias("shard"), F.lit(query).alias("query"))
+    if points is None:
+        # outwards from the first point is one more bit set
+        unset = F.filter(F.array(*(F.lit(1 << i).cast("long") for i in range(width))), lambda x: part.bitwiseAND(x) == 0)
+        return F.concat(F.array(copy(part, False)), F.transform(unset, lambda x: copy(part.bitwiseOR(x), True)))
+    rings = [F.bit_count(part.bitwiseXOR(F.lit(p & ((1 << width) - 1)))) for p in POINTS[:points]]
+    name = lambda shift: F.xxhash64(*(r + s for r, s in zip(rings, shift, strict=True)))
+    outwards = [(1, *((1 if j >> i & 1 else -1) for i in range(points - 1))) for j in range(1 << (points - 1))]
+    return F.array(copy(name((0,) * points), False), *(copy(name(o), True) for o in outwards))
+
+
+def _sent(prints: DataFrame, bands: tuple, points: int | None, names: list[str]) -> DataFrame:
+    """band, shard, query and the named columns of each fingerprint for every shard that it is a member of or asks; points is None for
+    one for each bit."""
+    copies = F.concat(*(_copies(k, band, points) for k, band in enumerate(bands)))
+    return prints.select(*names, F.explode(copies).alias("x")).select("x.*", *names)
+
+
+def links(prints: DataFrame, bits: int = 4, bands: tuple = NARROW, points: int = 4, most: int = MOST) -> DataFrame:
     """(a, b) by node, b < a, such that the components of these pairs are those of all pairs at most bits apart, of which a part
-    differs in one bit at most. prints: distinct fingerprints."""
-    names = [c for c in prints.columns if c[0] == "f"]
-    sent = _sent(prints, bands, points, ["node", *names])
-
-    def local(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        node, once = np.unique(table.column("node").to_numpy(), return_index=True)
-        all_prints = np.stack([table.column(c).to_numpy().view(np.uint64) for c in names], axis=1)
-        asks = table.column("query").to_numpy(zero_copy_only=False)[once]
-        places, linked = np.arange(len(node)), Linked(len(node))
-        link(all_prints[once], places, places[~asks], bands[key[0].as_py()], bits, linked)
-        moved = linked.root != places
+    differs in one bit at most. prints: distinct fingerprints. There are more shards where one might hold more than most of them;
+    small shards are worked on together."""
+    names = ["node", *(c for c in prints.columns if c[0] == "f")]
+    n = prints.count()
+    fine = n * SHARE.get(points, 1.0) > most
+    each = len(bands) * (2 + max(width for _, _, width in bands) // 2 if fine else 1 + (1 << (points - 1)))
+    sent = _sent(prints, bands, None if fine else points, names).withColumn("bucket", F.pmod(F.xxhash64("band", "shard"), F.lit(max(8, n * each // ROWS))))
+
+    def local(table: pa.Table) -> pa.Table:
+        node, print_of = np.unique(table.column("node").to_numpy(), return_inverse=True)
+        prints = np.zeros((len(node), len(names) - 1), np.uint64)
+        prints[print_of] = np.stack([table.column(c).to_numpy().view(np.uint64) for c in names[1:]], axis=1)
+        band, shard, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("band", "shard", "query"))
+        linked = Linked(len(node))
+        order = np.lexsort((shard, band))
+        cut = np.nonzero((np.diff(band[order]) != 0) | (np.diff(shard[order]) != 0))[0] + 1
+        for rows in np.split(order, cut):
+            members = np.unique(print_of[rows[~asks[rows]]])
+            link(prints, np.unique(print_of[rows]), members, bands[band[rows[0]]], bits, linked)
+        moved = linked.root != np.arange(len(node))
         return pa.table({"a": node[moved], "b": node[linked.root[moved]]})
 
-    return sent.groupBy("band", "shard").applyInArrow(local, "a long, b long").distinct()
-
-
-def proposals(prints: DataFrame, similar: float, bits: int, points: int = 2) -> DataFrame:
-    """(a, b) by node, b < a: all pairs of different groups at most bits apart whose sizes n allow the similarity and of which one of the
-    parts TWICE differs in one bit at most. prints: node, n, group, f0 to f7, of distinct nodes."""
-    names = [f"f{w}" for w in range(4)]
-
-    def local(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        node, once = np.unique(table.column("node").to_numpy(), return_index=True)
-        group, n = (table.column(c).to_numpy()[once] for c in ("group", "n"))
-        found = Proposed(n, group, similar)
-        asks = table.column("query").to_numpy(zero_copy_only=False)[once]
-        if (group != group[0]).any() and not asks.all():
-            words = dealt(np.stack([table.column(c).to_numpy().view(np.uint64) for c in names], axis=1)[once])
-            places = np.arange(len(node))
-            link(words, places, places[~asks], TWICE[key[0].as_py()], 2 * bits, found)  # each bit is there twice
-        i, j = np.unique(np.concatenate(found.pairs, axis=1), axis=1)
-        return pa.table({"a": node[i], "b": node[j]})
-
-    return _sent(prints, TWICE, points, ["node", "n", "group", *names]).groupBy("band", "shard").applyInArrow(local, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, size: int, similar: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets of shingles have the Jaccard similarity. distinct: node and least, a doc_id that has it."""
-    pairs = checkpoint(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialise(nodes.join(distinct, "node").select(F.col("least").alias("__id")).distinct())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch, ["text"]):
-                n = part.num_rows
-                hashes, doc = sets([(x or "").encode() for x in part.column(1).to_pylist()], size)
-                own = np.split(hashes, np.searchsorted(doc, np.arange(1, n)))
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(hashes, doc, n)), pa.array([len(x) for x in own], pa.int64()), pa.array([odd(x) for x in own], pa.binary()), part.column(1)], names=["node", "n", "odd", "text"])
-
-    # an id may be there with several texts: each is named anew
-    texts = checkpoint(rows.mapInArrow(name, "node long, n long, odd binary, text string").dropDuplicates(["node"]))
-
-    def with_both(pairs: DataFrame, *columns: str) -> DataFrame:
-        of = lambda end: texts.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns))
-        return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", *(f"{c}_{end}" for end in "ab" for c in columns))
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = (1 - similar) / (1 + similar)
-        for batch in batches:
-            total = pc.add(batch.column("n_a"), batch.column("n_b")).to_pylist()
-            keep = [differ(x.as_py(), y.as_py()) <= most * n + 1e-6 for x, y, n in zip(batch.column("odd_a"), batch.column("odd_b"), total, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch, ["text_a", "text_b"]):
-                left, right = ([(x or "").encode() for x in part.column(c).to_pylist()] for c in ("text_a", "text_b"))
-                place = {t: k for k, t in enumerate(dict.fromkeys(left + right))}
-                hashes, doc = sets(list(place), size)
-                own = np.split(hashes, np.searchsorted(doc, np.arange(1, len(place))))
-                keep = [similarity(own[place[x]], own[place[y]]) >= similar for x, y in zip(left, right, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
-
-    possible = checkpoint(with_both(pairs, "n", "odd").mapInArrow(bound, "a long, b long"))
-    return checkpoint(with_both(possible, "text").mapInArrow(check, "a long, b long"))
-
-
-def _slices(batch: pa.RecordBatch, texts: list[str]) -> Iterator[pa.RecordBatch]:
-    """Parts of the batch with about TEXT bytes of texts each."""
-    sizes = [pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy() for c in texts]
-    for a, b in chunks(sum(sizes).tolist(), TEXT):
-        yield batch.slice(a, b - a)
-
-
-def odd(hashes: np.ndarray) -> bytes:
-    """Which buckets hold an odd number of the set, in four bits or more for each of it: two sets differ in at least as many elements as
-    these bits."""
-    bits = max(64, 1 << (4 * len(hashes) - 1).bit_length()) if len(hashes) else 64
-    n = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
-    return np.packbits((n & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def differ(a: bytes, b: bytes) -> int:
-    """In how many bits two of odd differ, the longer one folded to the other's size."""
-    x, y = sorted((np.frombuffer(t, np.uint64) for t in (a, b)), key=len)
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    return sent.groupBy("bucket").applyInArrow(local, "a long, b long").distinct()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -331,6 +234,32 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / max(1, len(a) + len(b) - shared)
 
 
+def alike(own: list[np.ndarray], queries: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), places in own, of all pairs of a query (a place) with any other set that are so similar, by counts of what they share."""
+    if len(own) == 1:
+        return queries[:0], queries[:0]
+    if len(own) == 2:
+        return (np.array([0]), np.array([1])) if similarity(*own) >= similar else (queries[:0], queries[:0])
+    n = np.array([len(x) for x in own], np.float64)
+    flat, of = np.concatenate(own), np.repeat(np.arange(len(own)), n.astype(int))
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    some = times[column] > 1  # what only one has is shared by none
+    column, of = (np.cumsum(times > 1) - 1)[column[some]], of[some]
+    order = np.argsort(column, kind="stable")
+    column, of = column[order], of[order]
+    shared = np.zeros((len(queries), len(own)), np.float32)
+    width = 1024
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (first, first + width))
+        has = np.zeros((len(own), width), np.float32)
+        has[of[a:b], column[a:b] - first] = 1
+        shared += has[queries] @ has.T
+    both = n[queries][:, None] + n[None] - shared
+    i, j = np.nonzero(shared / np.maximum(both, 1) >= similar)
+    i = queries[i]
+    return i[i != j], j[i != j]
+
+
 def _nodes(hashes: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
     """A name for each text's set of shingles."""
     cut = 8 * np.searchsorted(doc, np.arange(texts + 1))
@@ -338,37 +267,89 @@ def _nodes(hashes: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
 
 
 def named(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, the node that names its set of shingles, their number n, and f0 to f7: a fingerprint of the set, dealt twice."""
-    names = [f"f{w}" for w in range(8)]
+    """doc_id, the node that names its set of shingles, their number n, and f0 to f3: a fingerprint of the set."""
+    names = [f"f{w}" for w in range(4)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
             for a, b in chunks([len(t) for t in texts], TEXT):
                 hashes, doc = sets(texts[a:b], size)
-                prints = dealt(_prints(hashes, doc, b - a, 4)).view(np.int64)
+                prints = _prints(hashes, doc, b - a, 4).view(np.int64)
                 n = np.bincount(doc, minlength=b - a).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(_nodes(hashes, doc, b - a)), pa.array(n), *(pa.array(prints[:, w].copy()) for w in range(8))], names=["doc_id", "node", "n", *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(_nodes(hashes, doc, b - a)), pa.array(n), *(pa.array(prints[:, w].copy()) for w in range(4))], names=["doc_id", "node", "n", *names])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", "node long", "n long", *(f"{f} long" for f in names)]))
 
 
+def _texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, text), once each, of the documents whose ids are wanted (least)."""
+    ids = materialise(wanted.select(F.col("least").alias("__id")).distinct())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist(), TEXT):
+                part = batch.column(0).slice(a, b - a)
+                hashes, doc = sets([(x or "").encode() for x in part.to_pylist()], size)
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(hashes, doc, b - a)), part], names=["node", "text"])
+
+    # an id may be there with several texts: each is named anew
+    return rows.mapInArrow(name, "node long, text string").dropDuplicates(["node"])
+
+
+def _within(texts: DataFrame, buckets: int, size: int, similar: float) -> DataFrame:
+    """(a, b) by node, b < a, whose components are those of all pairs of texts of one part that are so similar, with at least one that asks.
+    texts: part (of bounded size), node, ask, text. Parts are worked on together, many at a time."""
+
+    def local(table: pa.Table) -> pa.Table:
+        part, order = table.column("part").to_numpy(), np.argsort(table.column("part").to_numpy(), kind="stable")
+        node, asks = table.column("node").to_numpy(), table.column("ask").to_numpy(zero_copy_only=False)
+        raw = [(x or "").encode() for x in table.column("text").to_pylist()]
+        own: list[np.ndarray] = []
+        for a, b in chunks([len(t) for t in raw], TEXT):
+            hashes, doc = sets(raw[a:b], size)
+            own += np.split(hashes, np.searchsorted(doc, np.arange(1, b - a)))
+        left, right = [node[:0]], [node[:0]]
+        for rows in np.split(order, np.nonzero(np.diff(part[order]))[0] + 1):
+            rows = rows[np.argsort(node[rows], kind="stable")]
+            linked = Linked(len(rows))
+            linked.join(*alike([own[r] for r in rows], np.nonzero(asks[rows])[0], similar))
+            moved = linked.root != np.arange(len(rows))
+            left.append(node[rows][moved])
+            right.append(node[rows][linked.root[moved]])
+        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+    keyed = texts.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)))
+    return keyed.select("bucket", "part", "node", "ask", "text").groupBy("bucket").applyInArrow(local, "a long, b long").where("a <> b")
+
+
 def components(pairs: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each one's component, by alternating large and small stars until nothing changes."""
+    """(node, root): the smallest node of each one's component, by alternating large and small stars until nothing changes. Centres
+    with very many links are spread over tasks."""
     edges = checkpoint(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = tuple(state)
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = checkpoint(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(least, large.a == least.u).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = checkpoint(small.where("a <> b").distinct())
+        before, n = tuple(state), state[0]
+        # what is larger than a node goes to the least of what the node is linked with; that is the node itself if nothing is less
+        least = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        large = looked_up(edges, least, "b", n).select("a", F.coalesce("m", "b").alias("b"))
+        large = checkpoint(large.distinct())
+        # what is less than a node goes to the least of that, and so does the node
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = looked_up(large, least, "a", n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        edges = checkpoint(small.unionByName(least.withColumnRenamed("m", "b")).distinct())
+
+
+def _rooted(prints: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """prints with the component_id of its node, the least id of all nodes that found (node, root) puts together."""
+    rooted = checkpoint(distinct.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = checkpoint(looked_up(rooted.select("node", "root"), least, "root", rooted.count()).select("node", "component_id"))
+    return looked_up(prints, of, "node", prints.count())
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4, bands: tuple = NARROW, points: int = 4, text: str = "text") -> DataFrame:
@@ -377,33 +358,56 @@ def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4, bands: tuple
     prints = checkpoint(fingerprinted(docs, size, words, text))
     names = [f"f{w}" for w in range(words)]
     distinct = checkpoint(prints.groupBy("node", *names).agg(F.min("doc_id").alias("least")))
-    found = components(links(distinct.drop("least"), bits, bands, points)).withColumnRenamed("node", "__node")
-    rooted = distinct.join(found, F.col("node") == F.col("__node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    # written, so that both sides of the join are exchanges and a large group can be split over tasks
-    least = checkpoint(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = checkpoint(rooted.select("node", "root").join(least, "root").select(F.col("node").alias("__node"), "component_id"))
-    return prints.join(named, F.col("node") == F.col("__node")).drop("__node", "node")
+    found = components(links(distinct.drop("least"), bits, bands, points))
+    return _rooted(prints, distinct, found).drop("node")
 
 
-def similar_groups(docs: DataFrame, size: int = 5, similar: float = 0.8, bits: int = 60) -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, similar: float = 0.8, bits: int = 60, group: int = GROUP, shingles: int = SHINGLES) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable by links between texts whose sets of shingles are so similar.
 
-    Fingerprints of 256 bits propose, the sets decide. Sets at 0.8 differ in 39 bits, give or take 6, those at 0.9 in 26. The 16 parts of
-    the bits as they are meet 99.5 % of pairs at 0.8, and of what they miss the 16 parts of the bits dealt anew meet most. A first
-    pass over few parts joins crowds, so that the second need not propose all their pairs."""
-    names = [f"f{w}" for w in range(8)]
+    Fingerprints of 256 bits tell who may belong together, the sets decide. Sets at 0.8 differ in 39 bits, give or take 6, and those at 0.9
+    in 26; whoever is linked by up to 60, directly or by others, is one family, and the 16 parts of the fingerprint miss half a
+    percent of lone pairs at 0.8. The texts of each family meet, and all its pairs are compared by their sets. A family of more
+    than group texts or so many shingles is dealt into parts of that size, three times over; after that nearly all of it is in
+    one group, and what isn't is compared, part by part, with every text of the family. So only links come out, at most one for each
+    text and comparison of parts, however many pairs are alike, and no part is larger than its bound."""
+    names = [f"f{w}" for w in range(4)]
     prints = checkpoint(named(docs, size))
     distinct = checkpoint(prints.groupBy("node", "n", *names).agg(F.min("doc_id").alias("least")))
-    first = verified(links(distinct.select("node", *names[:4]), bits, FEW, 2), distinct, docs, size, similar)
-    group = components(first).select(F.col("node").alias("__node"), "root")
-    grouped = checkpoint(distinct.join(group, F.col("node") == F.col("__node"), "left").withColumn("group", F.coalesce("root", "node")).drop("__node", "root"))
-    second = verified(proposals(grouped, similar, bits), distinct, docs, size, similar)
-    found = components(first.unionByName(second)).withColumnRenamed("node", "__node")
-    rooted = distinct.join(found, F.col("node") == F.col("__node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    # written, so that both sides of the join are exchanges and a large group can be split over tasks
-    least = checkpoint(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    of = checkpoint(rooted.select("node", "root").join(least, "root").select(F.col("node").alias("__node"), "component_id"))
-    return prints.join(of, F.col("node") == F.col("__node")).select("doc_id", "component_id")
+    family = components(links(distinct.select("node", *names), bits, WIDE, 2))
+    family = checkpoint(family.unionByName(family.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "family"))
+    members = distinct.join(family, "node").select("node", "n", "least", "family")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / group), F.ceil(F.sum("n") / shingles), F.lit(1)).cast("long")
+    sizes = checkpoint(members.groupBy("family").agg(parts.alias("parts"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("all")))
+    total = sizes.agg(F.sum("all_n").alias("n"), F.sum("all").alias("all"), F.count_if(F.col("parts") > 1).alias("large")).first()
+    members = checkpoint(looked_up(members, sizes.select("family", "parts"), "family", total["all"] or 0))
+    buckets = max(8, (total.n or 0) // shingles)
+    dealt = lambda salt: F.xxhash64("family", F.pmod(F.xxhash64("node", F.lit(salt)), "parts")).alias("part")
+    texts = _texts(docs, members, size).join(members.select("node", "family", "parts"), "node")
+    if not total.large:
+        found = checkpoint(_within(texts.select(dealt(0), "node", F.lit(True).alias("ask"), "text"), buckets, size, similar))
+        return _rooted(prints, distinct, components(found)).select("doc_id", "component_id")
+    texts = materialise(texts)
+    found = _within(texts.select(dealt(0), "node", F.lit(True).alias("ask"), "text"), buckets, size, similar)
+    crowds = texts.where("parts > 1")
+    for salt in (1, 2):
+        found = found.unionByName(_within(crowds.select(dealt(salt), "node", F.lit(True).alias("ask"), "text"), buckets, size, similar))
+    found = checkpoint(found)
+    # of each large family, the texts outside its largest group against all of it
+    of = crowds.select("node", "family", "parts").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = checkpoint(of)
+    main = of.groupBy("family", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("family").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+    rest = looked_up(of, main, "family", total["all"]).where("root <> main").select("node", "family", "parts")
+    rest = checkpoint(rest)
+    asked = rest.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / group).alias("turns"))
+    turn = F.pmod(F.xxhash64("node", F.lit(3)), "turns")
+    cell = lambda turn, part: F.xxhash64("family", turn, part).alias("part")
+    every = looked_up(crowds, asked, "family", total["all"]).where("turns is not null").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    targets = every.select(cell(F.col("turn"), F.pmod(F.xxhash64("node", F.lit(0)), "parts")), "node", F.lit(False).alias("ask"), "text")
+    asking = looked_up(rest.join(crowds.select("node", "text"), "node"), asked, "family", total["all"]).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    queries = asking.select(cell(turn, F.col("cell")), "node", F.lit(True).alias("ask"), "text")
+    last = _within(targets.unionByName(queries), buckets, size, similar)
+    return _rooted(prints, distinct, components(checkpoint(found.unionByName(last)))).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similar: float = 0.8) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from keelson.llm import simhash, words
+from keelson.llm import common, simhash, words
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -67,8 +67,8 @@ def test_groups_like_brute_force(spark):
     distinct = sorted({x for x in prints.values()})
     signed = [x - (1 << 64) if x >> 63 else x for x in distinct]
     df = spark.createDataFrame([(x, x) for x in signed], "node long, f0 long")
-    for points in (3, 5):
-        rows = simhash.components(simhash.links(df, points=points)).collect()
+    for points, most in ((3, 1 << 40), (5, 1 << 40), (4, 1)):  # the last has every bit for a point
+        rows = simhash.components(simhash.links(df, points=points, most=most)).collect()
         root = {r.node % (1 << 64): r.root % (1 << 64) for r in rows}
         want = brute_components(dict(enumerate(distinct)))
         mine, theirs = {}, {}
@@ -138,7 +138,7 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept >= {*origin, *range(120, 160)}
 
 
-def test_stage_like_brute_force_jaccard(spark):
+def families():
     rnd = random.Random(10)
     vocab = [f"w{i}" for i in range(3000)]
     texts = [None, "", "one two", "One  two", "a b c d e f " * 300 + "x y z u v", "a b c d e f " * 300 + "p q r s t"]
@@ -149,6 +149,18 @@ def test_stage_like_brute_force_jaccard(spark):
             for _ in range(rnd.randrange(1 + len(w) // 25)):  # similarities around 0.8
                 edited[rnd.randrange(len(w))] = rnd.choice(vocab)
             texts.append(" ".join(edited))
+    crowd = rnd.choices(vocab, k=200)
+    for _ in range(120):
+        edited = list(crowd)
+        for _ in range(rnd.randrange(9)):
+            edited[rnd.randrange(200)] = rnd.choice(vocab)
+        texts.append(" ".join(edited))
+    return texts
+
+
+@pytest.fixture(scope="module")
+def alike_like_brute_force():
+    texts = families()
     root = list(range(len(texts)))
     near = [(i, j, jaccard(texts[i] or "", texts[j] or "")) for i in range(len(texts)) for j in range(i)]
     for _ in texts:
@@ -156,19 +168,54 @@ def test_stage_like_brute_force_jaccard(spark):
             if s >= 0.8:
                 root[i] = root[j] = min(root[i], root[j])
     assert sum(0.6 < s < 0.8 for _, _, s in near) > 60 < sum(0.8 <= s < 1 for _, _, s in near)
+    assert sum(r >= len(texts) - 120 for r in set(root)) > 5  # some of the crowd are like nobody
+    return texts, root
+
+
+@pytest.mark.parametrize("group", [simhash.GROUP, 7])
+def test_stage_like_brute_force_jaccard(spark, alike_like_brute_force, group):
+    texts, root = alike_like_brute_force
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
-    assert kept == {i for i, r in enumerate(root) if i == r}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, group=group).collect()}
+    assert got == dict(enumerate(root))
+    if group == simhash.GROUP:
+        kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+        assert kept == {i for i, r in enumerate(root) if i == r}
 
 
-def test_odd_buckets_bound_the_difference():
+def test_alike_like_each_pair():
     rng = np.random.default_rng(12)
-    for n in (0, 1, 15, 16, 17, 500, 5000):
-        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
-        for cut in (0, n // 10, n // 2, n):
-            b = np.concatenate([a[cut:], rng.integers(0, 1 << 63, cut // 2, dtype=np.uint64)])
-            assert simhash.differ(simhash.odd(a), simhash.odd(b)) <= cut + cut // 2
-            assert cut == 0 or simhash.differ(simhash.odd(a), simhash.odd(b)) > 0 or n < 20
+    own = [np.unique(rng.choice(60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(40)] + [np.arange(3000, dtype=np.uint64), np.arange(100, 3000, dtype=np.uint64)]
+    asks = np.array([0, 3, 7, 41])
+    want = {(i, j) for i in asks for j in range(len(own)) if i != j and simhash.similarity(own[i], own[j]) >= 0.5}
+    assert set(zip(*(x.tolist() for x in simhash.alike(own, asks, 0.5)), strict=True)) == want and (41, 40) in want
+    assert [len(x) for x in simhash.alike(own[:1], asks[:1], 0.5)] == [0, 0]
+
+
+def test_no_shard_is_above_its_bound(spark):
+    rnd = F.xxhash64
+    prints = spark.range(10**6).select(F.col("id").alias("node"), *(rnd("id", F.lit(w)).alias(f"f{w}") for w in range(4)))
+    for bands, points, copies in ((simhash.WIDE[:2], 2, 3), (simhash.NARROW[:1], 4, 9)):
+        sizes = lambda p, bands=bands: simhash._sent(prints, bands, p, ["node"]).groupBy("band", "shard").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+        coarse, fine = sizes(points), sizes(None)
+        assert coarse["all"] == copies * len(bands) * 10**6 and coarse.most <= simhash.SHARE[points] * 10**6 < 1.3 * coarse.most
+        assert fine.most <= 1000 and coarse.most <= simhash.MOST
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    star = [(0, i) for i in range(1, 3000)]
+    chain = [(i, i + 1) for i in range(5000, 5200)]
+    other = [(9000, 8999), (9001, 8999), (9002, 9001)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(star + chain + other, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 3000)} | {i: 5000 for i in range(5001, 5201)} | {i: 8999 for i in (9000, 9001, 9002)}
+
+
+def test_hot_keys_are_spread(spark):
+    left = spark.range(5000).select((F.when(F.col("id") < 3000, 1).otherwise(F.col("id"))).alias("k"), F.col("id").alias("v"))
+    right = spark.createDataFrame([(1, "hot"), (4000, "some")], "k long, x string")
+    got = common.looked_up(left, right, "k", 5000)
+    assert {(r.k, r.v, r.x) for r in got.collect()} == {(1, i, "hot") for i in range(3000)} | {(i, i, "some" if i == 4000 else None) for i in range(3000, 5000)}
+    assert got.count() == 5000
 
 
 def test_null_ids_repeats_and_empty(spark):

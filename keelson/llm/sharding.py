@@ -6,7 +6,8 @@ with the probabilities that a uniform permutation of all rows would give. The ma
 the sources; each node splits what it sends between its halves by hypergeometric draws, shard after shard. Every source
 then permutes its rows and deals them out by its row of the matrix, and every shard permutes what it has got.
 
-Draws and permutations hash a seed, so the same table gives the same shards. Sizes of shards are at most one apart.
+Draws and permutations hash a seed and the places of rows, so a table that is read in the same partitions gives the same shards, and
+one that is split otherwise gives others that are as uniform. Sizes of shards are at most one apart.
 
 Defined results: null keys and texts are rows like any other; repeated rows are dealt out one by one; an empty table
 gives an empty one; columns shard and slot of the input are replaced, working columns start with two underscores.
@@ -58,13 +59,13 @@ def _uniform(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / float(1 << 53)
 
 
-def _left(sizes: Column, caps: Column, half: Column, name: Column, seed: int) -> Column:
+def _left(sizes: Column, caps: Column, half: Column, name: Column, seed: Column) -> Column:
     """What the left half of a node's sources sends to each shard."""
     total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
     sent = F.aggregate(F.slice(sizes, F.lit(1), half), F.lit(0).cast("long"), lambda a, x: a + x)
 
     def step(s: Column, cap: Column) -> Column:
-        draw = let(_hypergeometric(cap, s.total, s.sent, _uniform(F.lit(seed), name, F.size(s.out))), lambda d: F.struct(d.alias("d")))
+        draw = let(_hypergeometric(cap, s.total, s.sent, _uniform(seed, name, F.size(s.out))), lambda d: F.struct(d.alias("d")))
         return let(draw, lambda x: F.struct((s.total - cap).alias("total"), (s.sent - x.d).alias("sent"), F.concat(s.out, F.array(x.d)).alias("out")))
 
     return F.aggregate(caps, F.struct(total.alias("total"), sent.alias("sent"), F.array().cast("array<bigint>").alias("out")), step, lambda s: s.out)
@@ -75,18 +76,18 @@ def matrix(counts: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     nodes = counts.where("n > 0").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("all")).where(F.size("all") > 0)
     total = F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x.n)
     share = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: (F.floor(F.col("__total") / shards) + F.when(s < F.col("__total") % shards, 1).otherwise(0)).cast("long"))
-    nodes = nodes.withColumn("__total", total).select(F.transform("all", lambda x: x.source).alias("sources"), F.transform("all", lambda x: x.n).alias("sizes"), share.alias("caps"))
+    nodes = nodes.withColumn("__total", total).select(F.transform("all", lambda x: x.source).alias("sources"), F.transform("all", lambda x: x.n).alias("sizes"), share.alias("caps"), F.lit(0).alias("level"))
     n = max(1, counts.count())
-    for level in range(math.ceil(math.log2(n))):
+    for _ in range(math.ceil(math.log2(n))):
         many = F.size("sizes") > 1
         half = F.ceil(F.size("sizes") / 2).cast("int")
-        nodes = nodes.withColumn("__left", F.when(many, _left(F.col("sizes"), F.col("caps"), half, F.element_at("sources", 1), seed + level)))
-        part = lambda first, length, caps: F.struct(F.slice("sources", first, length).alias("sources"), F.slice("sizes", first, length).alias("sizes"), caps.alias("caps"))
+        # the level is a column, so that every level is the same plan
+        nodes = nodes.withColumn("__seed", F.lit(seed) + F.col("level")).withColumn("__left", F.when(many, _left(F.col("sizes"), F.col("caps"), half, F.element_at("sources", 1), F.col("__seed"))))
+        part = lambda first, length, caps: F.struct(F.slice("sources", first, length).alias("sources"), F.slice("sizes", first, length).alias("sizes"), caps.alias("caps"), (F.col("level") + 1).alias("level"))
         rest = F.zip_with("caps", "__left", lambda a, b: a - b)
         both = F.array(part(F.lit(1), half, F.col("__left")), part(half + 1, F.size("sizes") - half, rest))
         nodes = nodes.select(F.explode(F.when(many, both).otherwise(F.array(part(F.lit(1), F.lit(1), F.col("caps"))))).alias("x")).select("x.*")
-        if level % 4 == 3:  # later draws in more tasks, and a plan of bounded depth
-            nodes = checkpoint(nodes.repartition(F.element_at("sources", 1)))
+        nodes = checkpoint(nodes.repartition(F.element_at("sources", 1)))  # later draws in more tasks, and a plan of bounded depth
     return nodes.select(F.element_at("sources", 1).alias("source"), F.col("caps").alias("sends"))
 
 

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from keelson.llm import sharding
@@ -43,6 +44,63 @@ def test_shuffle_is_whole_even_and_gapless(spark):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(by[s]))
 
 
+def xx(*values):
+    """Spark's xxhash64 of ints (as (value, 4)) and longs."""
+    h = 42
+    for v in values:
+        v, width = v if isinstance(v, tuple) else (v, 8)
+        h = xxhash.xxh64_intdigest(v.to_bytes(width, "little", signed=True), h)
+    return h
+
+
+def draw(marked, total, drawn, u):
+    """The inverse of the distribution, in whole numbers."""
+    low, high = max(0, drawn - (total - marked)), min(drawn, marked)
+    below, x = 0, low
+    while x < high:
+        below += math.comb(marked, x) * math.comb(total - marked, drawn - x)
+        if below / math.comb(total, drawn) > u:
+            break
+        x += 1
+    return x
+
+
+def plain_matrix(sources, caps, seed, level=0):
+    """{source: what it sends to each shard}, by the same tree."""
+    if len(sources) == 1:
+        return {sources[0][0]: caps}
+    half = -(-len(sources) // 2)
+    total, sent, left = sum(n for _, n in sources), sum(n for _, n in sources[:half]), []
+    for s, cap in enumerate(caps):
+        u = (xx((seed + level, 4), sources[0][0], (s, 4)) >> 11) / float(1 << 53)
+        left.append(draw(cap, total, sent, u))
+        total, sent = total - cap, sent - left[-1]
+    right = [a - b for a, b in zip(caps, left, strict=True)]
+    return plain_matrix(sources[:half], left, seed, level + 1) | plain_matrix(sources[half:], right, seed, level + 1)
+
+
+def test_shuffle_like_plain_python(spark):
+    docs = spark.createDataFrame([(i // 3, "t" * (i % 5)) for i in range(700)] + [(None, None)] * 3, "doc_id long, text string").repartition(6)
+    shards, seed = 9, 4
+    rows = [r.row for r in docs.select(F.monotonically_increasing_id().alias("row")).collect()]
+    of = Counter(r >> 33 for r in rows)
+    caps = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    sends = plain_matrix(sorted(of.items()), caps, seed)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    where = {}
+    for source, n in sends.items():
+        mine = sorted((r for r in rows if r >> 33 == source), key=lambda r: (signed(xx((seed, 4), (1, 4), r)), r))
+        shard = [s for s, k in enumerate(n) for _ in range(k)]
+        where |= dict(zip(mine, shard, strict=True))
+    want = {}
+    for s in range(shards):
+        mine = sorted((r for r in rows if where[r] == s), key=lambda r: xx((seed, 4), (2, 4), r))
+        want |= {r: (s, k) for k, r in enumerate(mine)}
+    for bucket_rows in (10**6, 20):
+        kept = docs.withColumn("row", F.monotonically_increasing_id())
+        assert {r.row: (r.shard, r.slot) for r in sharding.shuffle(kept, shards, seed, bucket_rows).collect()} == want
+
+
 def test_digest_and_empty(spark):
     docs = spark.createDataFrame([(1, None), (2, "é")], "doc_id long, text string")
     rows = {r.doc_id: r for r in sharding.digest(docs).collect()}

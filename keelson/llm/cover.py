@@ -208,3 +208,19 @@ def digest(docs: DataFrame, block: int = blocks.BLOCK) -> DataFrame:
         return pa.table({"doc_id": b.id_array(), "n_words": pa.array(w.n, pa.int64()), "n_removed": pa.array(n, pa.int64()), "kept_sha256": sha})
 
     return blocks.run(docs, _name, _hang, _settle, _claim, _confirm, apply, "doc_id long, n_words long, n_removed long, kept_sha256 string", block=block)
+
+
+SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {blocks.NO_ID}) AS o, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT r, o, i, array_to_string(words[i : i + {WINDOW - 1}], ' ') AS key FROM (SELECT r, o, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM d WHERE len(words) >= {WINDOW})
+), g AS (
+  SELECT DISTINCT r, i + j AS p FROM (SELECT r, o, i, min(o) OVER (PARTITION BY key) AS first FROM w), range({WINDOW}) t(j) WHERE first < o
+), u AS (
+  SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM d
+), k AS (
+  SELECT u.r, count(g.p) AS n, string_agg(CASE WHEN g.p IS NULL THEN word END, ' ' ORDER BY u.p) AS kept FROM u LEFT JOIN g ON u.r = g.r AND u.p = g.p GROUP BY u.r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.r = k.r
+"""

@@ -57,4 +57,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: By name, as in opN_<name>.
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_sharding, op3_suffix_array, op4_token_counts, op5_quality_rules, op6_license_scan, op7_decontamination, op8_difference_cover, op9_chat_rotation, op10_simhash)}
-SQL = {"op9_chat_rotation": chat.SQL}
+SQL = {"op3_suffix_array": suffix.SQL, "op5_quality_rules": quality.SQL, "op8_difference_cover": cover.SQL, "op9_chat_rotation": chat.SQL}

@@ -430,3 +430,27 @@ def digest(docs: DataFrame, block: int = blocks.BLOCK, often: int = OFTEN) -> Da
         return pa.table({"doc_id": b.id_array(), "n_bytes": pa.array([len(t) for t in b.texts], pa.int64()), "n_removed": pa.array(n, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": sha})
 
     return _run(docs, apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", block, often)
+
+
+SQL = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {blocks.NO_ID}) AS o, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), s AS (
+  SELECT r, o, i, array_slice(b, i, i + {LENGTH - 1}) AS string FROM (SELECT r, o, b, unnest(range(1, n - {LENGTH - 2})) AS i FROM d WHERE n >= {LENGTH})
+), g AS (
+  SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY string ORDER BY o, i, r) AS k FROM s) WHERE k > 1
+), e AS (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM g
+), x AS MATERIALIZED (
+  SELECT r, k, min(i) AS a, max(i) + {LENGTH} AS z FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM e) GROUP BY r, k
+), t AS (
+  SELECT r, sum(z - a) AS removed, count(*) AS spans FROM x GROUP BY r
+), p AS (
+  SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY k), 1) AS a, a AS z FROM x UNION ALL SELECT r, max(z), NULL FROM x GROUP BY r
+), h AS (
+  SELECT p.r, string_agg(hex(array_slice(b, p.a, coalesce(p.z - 1, n))), '' ORDER BY p.a, p.z NULLS LAST) AS kept FROM p JOIN d ON p.r = d.r WHERE coalesce(p.z - 1, n) >= p.a GROUP BY p.r
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(CASE WHEN removed IS NULL THEN b ELSE unhex(coalesce(kept, '')) END) AS kept_sha256
+FROM d LEFT JOIN t ON d.r = t.r LEFT JOIN h ON d.r = h.r
+"""

@@ -1,7 +1,10 @@
 import hashlib
 import random
 import re
+import types
 
+import duckdb
+import numpy as np
 import pytest
 
 from keelson.llm import cover
@@ -57,5 +60,26 @@ def test_empty_and_texts(spark):
     assert {r.doc_id: bytes(r.kept) for r in cover.dedup(docs).collect()} == {1: b"x y", 2: b""}
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_like_sql(spark, sf):
+    path = f"/root/testdata/{sf}/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"create view documents as from '{path}'")
+    rel = con.execute(cover.SQL)
+    names = [d[0] for d in rel.description]
+    df = cover.digest(spark.read.parquet(path), 300_000)
+    assert sorted(df.columns) == sorted(names) and sorted(map(tuple, df.select(*names).collect())) == sorted(rel.fetchall())
+
+
+def test_words_are_compared(spark, monkeypatch):
+    # hashes of which all are equal: nothing may go that isn't the same, so the job stops
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "ab"]
+    block = types.SimpleNamespace(ids=np.array([1, 2]), texts=[t.encode() for t in texts], number=0)
+    monkeypatch.setattr(cover, "xxh64", lambda flat, starts, ends: np.ones(len(starts), np.uint64))
+    with pytest.raises(ValueError, match="one hash"):
+        cover.removed(block, [])
+    assert cover._confirm(block, 0, 2, 3, b"a2 a3 a4") and not cover._confirm(block, 0, 2, 3, b"a2 a3 b4") and not cover._confirm(block, 0, 18, 3, b"a18 a19 b0")
+
+
 def test_cover_has_every_difference():
     assert {(a - b) % cover.PERIOD for a in cover.COVER for b in cover.COVER} == set(range(cover.PERIOD))

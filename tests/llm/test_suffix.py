@@ -1,6 +1,12 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
+import types
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -71,6 +77,89 @@ def test_multikey_sort():
     assert all((lead[i] == lead[i - 1]) == (prefix[i] == prefix[i - 1]) for i in range(1, 500))
 
 
+@pytest.mark.parametrize("run", [b"=", b"ab", b"lorem ipsum dolor sit amet, "])
+def test_long_runs_have_few_anchors(run):
+    texts = [b"x" * 60 + run * (200_000 // len(run)) + b"y" * 130, b"", run * 40, b"z" * 99]
+    doc, at, _, (of, start, end) = suffix.sparse(texts)
+    assert len(doc) < 800 < len(suffix.anchors(texts)[0])
+    for k, t in enumerate(texts):
+        mine, spans = set(at[doc == k].tolist()), [(a, b) for d, a, b in zip(of, start, end, strict=True) if d == k]
+        first = {}
+        for i in range(len(t) - 99) if k != 0 else (*range(3000), *range(len(t) - 3000, len(t) - 99)):
+            has = bool(mine & set(range(i, i + suffix.SPAN)))
+            assert has or any(a <= i and i + 100 <= b for a, b in spans)
+            first.setdefault(t[i : i + 100], i)
+        for a, b in spans:  # all of them repeats
+            assert all(t.find(t[i : i + 100]) < i for i in (a, (a + b) // 2, b - 100))
+
+
+def test_windows_do_not_matter(monkeypatch):
+    texts = [(t or "").encode() for _, t in rows(5)]
+    whole, sparse = suffix.anchors(texts), suffix.sparse(texts)
+    monkeypatch.setattr(suffix, "WINDOW", 37)
+    assert all((a == b).all() for a, b in zip(whole, suffix.anchors(texts), strict=True))
+    assert all((a == b).all() for a, b in zip(sparse[:3], suffix.sparse(texts)[:3], strict=True))
+
+
+def test_four_megabytes_of_one_byte(tmp_path):
+    # in a process of its own, whose memory is held below 1 GB
+    code = """
+import resource, types
+resource.setrlimit(resource.RLIMIT_AS, (1 << 30, 1 << 30))
+import numpy as np
+from keelson.llm import blocks, suffix
+block = types.SimpleNamespace(texts=[b"=" * (4 << 20), b"=" * 5000], ids=np.array([1, 2]), number=0)
+keys, _ = suffix._name(block)
+rows = suffix._hang(np.zeros(0, "S16"))(block, np.unique(keys >> np.uint64(16)), np.zeros(len(np.unique(keys >> np.uint64(16))), bool), 16)
+table = blocks.sent(rows)
+told = [blocks.unpack(x) for b in sorted(set(r[0] for r in rows)) for x in suffix._settle(table.filter(np.array(table["bucket"]) == b))["data"].to_pylist()]
+n, spans, kept = suffix._applied(block, told)
+assert (n.tolist(), [len(k) for k in kept]) == ([(4 << 20) - 1, 5000], [1, 0]), (n, [len(k) for k in kept])
+"""
+    env = {**os.environ, "PYTHONPATH": str(Path(__file__).parents[2]), "OPENBLAS_NUM_THREADS": "1", "OMP_NUM_THREADS": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_neighbours_decide_like_all_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 3, (6, 150)).astype(np.uint8)
+    context = base[rng.integers(0, 6, 300)].copy()
+    for _ in range(2):
+        context[np.arange(300), rng.integers(0, 150, 300)] ^= 1
+    before, after = rng.choice([50, 50, 50, 20, 0], 300), rng.choice([100, 100, 100, 70, 50], 300)
+    context[np.arange(150) < 50 - before[:, None]] = 0
+    context[np.arange(150) >= 50 + after[:, None]] = 0
+    order, prefix = suffix.multikey_sort(suffix.digits(context))
+    age = rng.permutation(300)
+    low, high = suffix.repeats(context[order], before[order], after[order], prefix, age)
+    for x in range(300):
+        a, b = order[x], []
+        for k in range(suffix.SPAN):
+            cut = slice(50 - k, 150 - k)
+            fits = lambda r: before[r] >= k and after[r] >= 100 - k  # noqa: E731, B023
+            if fits(a) and any(age[y] < age[x] and fits(order[y]) and (context[order[y], cut] == context[a, cut]).all() for y in range(300)):
+                b.append(k)
+        assert (low[x], high[x]) == ((min(b), max(b)) if b else (1, 0))
+
+
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
+    # two claims, of which one doesn't hold
+    block = types.SimpleNamespace(texts=[b"a" * 120])
+    assert suffix._confirm(block, 0, 5, 100, b"a" * 100) and not suffix._confirm(block, 0, 5, 100, b"a" * 99 + b"b") and not suffix._confirm(block, 0, 50, 100, b"a" * 100)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_like_sql(spark, sf):
+    path = f"/root/testdata/{sf}/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"create view documents as from '{path}'")
+    rel = con.execute(suffix.SQL)
+    names = [d[0] for d in rel.description]
+    df = suffix.digest(spark.read.parquet(path), often=30)
+    assert sorted(df.columns) == sorted(names) and sorted(map(tuple, df.select(*names).collect())) == sorted(rel.fetchall())
+
+
 def test_every_string_has_an_anchor():
     texts = [(t or "").encode() for _, t in rows(1)]
     doc, at, _ = suffix.anchors(texts)

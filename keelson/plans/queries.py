@@ -182,7 +182,7 @@ SELECT m.path, need - have + extra AS errors, (SELECT count(*) FROM nation WHERE
 FROM m JOIN k ON m.path = k.path
 """)
 def contract_verdict(spark, sf_dir):
-    """All checks of each file, counted."""
+    """All checks of each file, counted."""
     return contract.verdict(contract.violations(_variables(spark, sf_dir), _fields(spark, sf_dir), ("path",)), ("path",))
 
 
@@ -306,7 +306,7 @@ def _scanned(df: DataFrame, key: str, text: str, **how) -> DataFrame:
 
 @query(_scan_sql("documents", "doc_id", "text"))
 def scan_documents(spark, sf_dir):
-    """All rules over whole documents."""
+    """All rules over whole documents."""
     return _scanned(_t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
@@ -316,21 +316,6 @@ def scan_pages(spark, sf_dir):
     return _scanned(_t(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query()
-def entropy_scan(spark, sf_dir):
-    """N6, X6, with a threshold that the data reach; tested against plain Python."""
-    docs = _t(spark, sf_dir, "documents").select(_text("doc_id").alias("path"), F.col("text").alias("content"))
-    return findings.scan(docs, entropy=True, threshold=3.5, patterns=False).select("path", "line_number", "rule_id", "severity", "secret_hash", F.round("entropy", 6).alias("entropy"))
-
-
-@query()
-def guard_documents(spark, sf_dir):
-    """The whole scan with all filters."""
-    docs = _t(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), _text("doc_id"), F.lit(".txt")).alias("path"), F.col("text").alias("content"), F.lit(True).alias("tracked"))
-    found = findings.guard(docs, entropy=True, noisy_paths=("*.lock",), ignore_paths=("**/generated/**",))
-    return found.select("path", "line_number", "rule_id", "severity", "secret_hash")
-
-
 _FINDINGS = """
 SELECT 'src/' || CAST(l_suppkey AS VARCHAR) || '.env' AS path, l_returnflag AS rule_id, CAST(l_linenumber AS INTEGER) AS line_number,
        CASE WHEN l_quantity > 40 THEN 'critical' WHEN l_quantity > 30 THEN 'high' WHEN l_quantity > 20 THEN 'medium' WHEN l_quantity > 10 THEN 'low' ELSE 'info' END AS severity,
@@ -422,7 +407,7 @@ FROM m LEFT JOIN o ON m.secret_name = o.secret_name
 
 @query(_SYNC)
 def sync_actions(spark, sf_dir):
-    """Customers as mappings, orders as the vault and as local keys."""
+    """Customers as mappings, orders as the vault and as local keys."""
     nation = F.col("c_nationkey")
     status = F.when(nation == 3, "multiple_found").when(nation == 4, "not_found").when(nation == 5, "folder_not_found").otherwise("found")
     customer = _t(spark, sf_dir, "customer")
@@ -469,7 +454,7 @@ def infer_types(spark, sf_dir):
 
 @query("SELECT event_type AS project, CAST(user_id AS VARCHAR) AS path, max(ts) AS last FROM events GROUP BY 1, 2 HAVING max(ts) <= (SELECT max(ts) FROM events) - INTERVAL 5 MINUTE")
 def idle_keys(spark, sf_dir):
-    """T2, T3, T8 as a batch."""
+    """T2, T3 as a batch."""
     events = _t(spark, sf_dir, "events").select(F.col("event_type").alias("project"), _text("user_id").alias("path"), "ts")
     return idle.idle_batch(events, 300)
 
@@ -504,15 +489,4 @@ def document_lines(spark, sf_dir):
     return dotenv.physical_lines(docs).groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(classify.comment_line(F.col("line"))).alias("n_comments"))
 
 
-@query()
-def parse_documents(spark, sf_dir):
-    """Whole texts read as configuration files, counted by document; tested against hand-written cases."""
-    docs = _t(spark, sf_dir, "documents").select(_text("doc_id").alias("path"), F.col("text").alias("content"))
-    parsed = dotenv.parse_files(docs)
-    return parsed.select("path", *(F.size(c).cast("long").alias(f"n_{c}") for c in ("assignments", "bare", "comments", "unparsed_lines")))
-
-
-@query()
-def drift_report(spark, sf_dir):
-    """K1, O2: one JSON document, names in order."""
-    return drift.report(drift.drift(*_environments(spark, sf_dir), normalize=False), "customer", "orders")
+from . import derived  # noqa: E402, F401  registers its queries too

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,8 +81,27 @@ def status(value: Column) -> Column:
     return F.when(value == "", "empty").when(value.startswith("encrypted:") | value.startswith("ENC[AES256_GCM,"), "encrypted").when(value.isNotNull(), "plaintext")
 
 
-def value_backend(value: Column) -> Column:
-    return F.when(value.startswith("encrypted:"), "dotenvx").when(value.startswith("ENC[AES256_GCM,"), "sops")
+class Backend(NamedTuple):
+    """What tells the values and the files of a way to encrypt; encrypting itself is none of this library's business."""
+
+    name: str
+    value: Callable[[Column], Column]
+    content: Callable[[Column], Column]
+
+
+#: In the order in which they are tried. Others may be given to value_backend and backend.
+BACKENDS = (
+    Backend(
+        "dotenvx",
+        lambda v: v.startswith("encrypted:"),
+        lambda c: c.rlike(r"""(?m)^\s*[A-Za-z_][A-Za-z0-9_]*\s*=\s*["']?encrypted:""") | c.contains("#/---BEGIN DOTENV ENCRYPTED---/") | c.rlike(rf"(?m)^{PUBLIC_KEY}(_\w+)?="),
+    ),
+    Backend("sops", lambda v: v.startswith("ENC[AES256_GCM,"), lambda c: c.contains("ENC[AES256_GCM,") | c.rlike(r'(?m)^(sops:|\s*"sops":|sops_version=|sops_mac=)')),
+)
+
+
+def value_backend(value: Column, backends: tuple[Backend, ...] = BACKENDS) -> Column:
+    return F.coalesce(*(F.when(b.value(value), b.name) for b in backends))
 
 
 def sensitive_name(name: Column, patterns: tuple[str, ...] = CHECKED_NAMES) -> Column:
@@ -149,10 +170,9 @@ def editor_encrypted(lines: Column) -> Column:
     return F.exists(lines, lambda x: ~comment_line(x) & (encrypted_line(x) | x.rlike(rf"^\s*{PUBLIC_KEY}(_\w+)?\s*=")))
 
 
-def backend(content: Column) -> Column:
-    """dotenvx markers are looked for first."""
-    dotenvx = content.rlike(r"""(?m)^\s*[A-Za-z_][A-Za-z0-9_]*\s*=\s*["']?encrypted:""") | content.contains("#/---BEGIN DOTENV ENCRYPTED---/") | content.rlike(rf"(?m)^{PUBLIC_KEY}(_\w+)?=")
-    return F.when(dotenvx, "dotenvx").when(content.contains("ENC[AES256_GCM,") | content.rlike(r'(?m)^(sops:|\s*"sops":|sops_version=|sops_mac=)'), "sops")
+def backend(content: Column, backends: tuple[Backend, ...] = BACKENDS) -> Column:
+    """Whose marks the content has; those of the first back end are looked for first."""
+    return F.coalesce(*(F.when(b.content(content), b.name) for b in backends))
 
 
 def plaintext_secret_line(line: Column) -> Column:

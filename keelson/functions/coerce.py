@@ -6,6 +6,11 @@ The rules are those of pydantic's lax string mode; SQL casts differ (underscores
 from __future__ import annotations
 
 import json
+from collections import deque
+from collections.abc import Mapping, Sequence
+from dataclasses import is_dataclass
+from types import UnionType
+from typing import Annotated, Any, TypeAliasType, Union, get_args, get_origin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +25,36 @@ _FLOAT = r"(?i)^\s*[+-]?([0-9]+(_[0-9]+)*([.]([0-9]+(_[0-9]+)*)?)?(e[+-]?[0-9]+)
 SCALARS = ("str", "int", "float", "bool")
 
 
+def _structured(kind: Any) -> bool:
+    """Whether a class holds other values: models, data classes and collections do, texts don't."""
+    if not isinstance(kind, type) or issubclass(kind, (str, bytes)):
+        return False
+    return issubclass(kind, (Mapping, Sequence, set, frozenset, deque)) or hasattr(kind, "model_fields") or is_dataclass(kind)
+
+
+def _decoded(kind: Any, marks: Sequence[Any]) -> bool:
+    alias = next((x for x in (kind, get_origin(kind)) if isinstance(x, TypeAliasType)), None)
+    kind = alias.__value__ if alias else kind
+    root = getattr(kind, "model_fields", {}).get("root") if isinstance(kind, type) else None
+    kind = root.annotation if root else kind  # a model of one value is what that is
+    if any(getattr(m, "__name__", type(m).__name__) == "Json" for m in marks):
+        return False  # the text goes to the type, which decodes it
+    if get_origin(kind) is Annotated:
+        return _decoded(get_args(kind)[0], get_args(kind)[1:])
+    return _structured(kind) or _structured(get_origin(kind))
+
+
+def complexity(kind: Any, marks: Sequence[Any] = ()) -> tuple[bool, bool]:
+    """Of a field's annotation: whether its text is decoded from JSON, and whether a text that can't be is passed on as it is. A structured
+    type must decode; a union with a structured member may."""
+    while get_origin(kind) is Annotated:
+        kind, marks = get_args(kind)[0], (*get_args(kind)[1:], *marks)
+    if _decoded(kind, marks):
+        return True, False
+    some = get_origin(kind) in (Union, UnionType) and any(_decoded(x, marks) for x in get_args(kind))
+    return some, some
+
+
 def _shape(value: Column, prefix: str) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith(prefix), F.lit(False))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.classify import any_of
@@ -86,3 +88,38 @@ def survivors(tracked: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Keys that stay tracked after a round: those that failed, timed out or were open, and those without an outcome (project, path, outcome)."""
     done = outcomes.where(F.col("outcome").isin("encrypted", "already_encrypted", "missing"))
     return tracked.join(done, ["project", "path"], "left_anti")
+
+
+class Rounds:
+    """Calls of an action on a thread of its own, one at a time. A call while one is running is skipped and not queued, so whoever calls,
+    such as a stream, never waits for a slow round."""
+
+    def __init__(self, action: Callable):
+        self.action, self.thread, self.failed = action, None, None
+
+    def __call__(self, *args) -> bool:
+        """Whether a round has been started."""
+        if self.thread is not None and self.thread.is_alive():
+            return False
+        self.thread = threading.Thread(target=self._run, args=args, daemon=True)
+        self.thread.start()
+        return True
+
+    def _run(self, *args) -> None:
+        try:
+            self.action(*args)
+        except Exception as e:  # kept for whoever waits; the next round starts all the same
+            self.failed = e
+
+    def wait(self, seconds: float | None = None) -> None:
+        if self.thread is not None:
+            self.thread.join(seconds)
+        if self.failed is not None:
+            failed, self.failed = self.failed, None
+            raise failed
+
+
+def follow(events: DataFrame, registry: Callable[[], DataFrame], tick: Callable[[DataFrame], object], default_seconds: int = 300) -> DataStreamWriter:
+    """A writer that gives each micro-batch's events of the projects that are enabled by then to tick. The registry (project, enabled,
+    idle_seconds) is read anew for each batch, so projects come and go while the stream runs."""
+    return events.writeStream.foreachBatch(lambda batch, _: tick(configured(batch, registry(), default_seconds)) and None)

@@ -122,6 +122,34 @@ def test_scalars(spark):
     assert col(spark, ["A=encrypted:1", "sops_version=3", "A=1"], classify.backend) == ["dotenvx", "sops", None]
 
 
+def test_which_types_are_decoded_from_json():
+    from dataclasses import make_dataclass
+    from typing import Annotated, Optional
+
+    pydantic = pytest.importorskip("pydantic")
+    type Names = list[str]
+    type Pair[T] = dict[str, T]
+    roots = {k: type(k, (pydantic.RootModel[t],), {}) for k, t in (("Text", str), ("Texts", list[str]))}
+    want = {
+        "plain": [(str, (False, False)), (bytes, (False, False)), (int, (False, False)), (None, (False, False)), (Optional[int], (False, False)), (str | int, (False, False))],
+        "structured": [(x, (True, False)) for x in (list, list[int], dict[str, int], tuple[int, ...], set[int], frozenset, make_dataclass("D", ["x"]), pydantic.create_model("M", x=(int, 1)), roots["Texts"], Names, Pair[int], Annotated[list[int], "note"])],
+        "tolerant": [(x, (True, True)) for x in (Optional[list[int]], str | list[str], int | Names, Annotated[dict | None, "note"])],
+        "root of a text": [(roots["Text"], (False, False))],
+        "marked": [(Annotated[list[int], pydantic.Json], (False, False)), (Annotated[list[int] | None, pydantic.Json()], (False, False))],
+    }
+    for cases in want.values():
+        for kind, result in cases:
+            assert coerce.complexity(kind) == result, kind
+    assert coerce.complexity(list[int], [pydantic.Json()]) == (False, False)
+
+
+def test_other_backends(spark):
+    mine = classify.Backend("mine", lambda v: v.startswith("mine:"), lambda c: c.contains("=mine:"))
+    every = (*classify.BACKENDS, mine)
+    assert col(spark, ["encrypted:1", "ENC[AES256_GCM,x]", "mine:x", "y", None], lambda v: classify.value_backend(v, every)) == ["dotenvx", "sops", "mine", None, None]
+    assert col(spark, ["A=mine:x", "A=mine:x\nB=encrypted:y", "A=1"], lambda v: classify.backend(v, every)) == ["mine", "dotenvx", None]
+
+
 def test_agent_and_editor_verdicts(spark):
     lines = ['K="encrypted:BDqb+/9z=="', "K=encrypted:AbC=", "K='ENCRYPTED:x' # note", "export K=ENC[x]", "NOTE=not encrypted: yet", "DOTENV_PUBLIC_KEY_PROD=encrypted:x", "sops_mac=ENC[x]", "sops_age__list=ENC[x]", "sops_token=ENC[x]", "  # K=encrypted:x", "encrypted:x", "K=a=encrypted:x"]
     assert col(spark, lines, classify.agent_encrypted_line) == [True, True, True, True, False, False, False, False, True, False, False, False]

@@ -101,21 +101,49 @@ def constrained(bound: DataFrame, checks: dict[str, tuple[str, str]], keys: tupl
 
 
 def violations(variables: DataFrame, fields: DataFrame, keys: tuple[str, ...] = (), extra_policy: str = "forbid", check_encryption: bool = True, case_sensitive: bool = False, ignore_empty: bool = False, files: DataFrame | None = None) -> DataFrame:
-    """(keys, kind, level, name, message) of all checks."""
-    text = lambda s: F.format_string(s, F.col("name"))
-    as_ = lambda df, kind, level, said, name="name": df.withColumn("name", F.col(name)).select(*keys, kind.alias("kind"), F.lit(level).alias("level") if isinstance(level, str) else level.alias("level"), "name", said.alias("message"))
-    gone = missing(variables, fields, keys, case_sensitive, ignore_empty, files)
-    out = as_(gone, F.when(F.col("required"), "missing_required").otherwise("missing_optional"), F.when(F.col("required"), "error").otherwise("warning"), text("Missing variable '%s'"), "field")
-    if extra_policy != "ignore":
-        out = out.unionByName(as_(extra(variables, fields, keys, case_sensitive), F.lit("extra"), "error" if extra_policy == "forbid" else "warning", text("Extra variable '%s' not in schema")))
-    if check_encryption:
-        out = out.unionByName(as_(unencrypted(variables, fields, keys, case_sensitive), F.lit("unencrypted"), "warning", text("'%s' is sensitive but not encrypted")))
-        doubt = unmarked(variables, fields, keys, case_sensitive)
-        out = out.unionByName(as_(doubt, F.concat(F.lit("suspicious_"), "reason"), "warning", text("'%s' looks like a secret but isn't marked sensitive")))
-    out = out.unionByName(as_(mistyped(variables, fields, keys, case_sensitive, ignore_empty), F.lit("type"), "error", F.col("message"), "field"))
+    """(keys, kind, level, name, message) of all checks, in one pass: the names of each file meet the contract once, and all that concerns
+    one name, then all that concerns one file, follows from that."""
+    found = lambda kind, level, name, said: F.struct(kind.alias("kind"), level.alias("level"), name.alias("name"), said.alias("message"))
+    text = lambda s, name: F.format_string(s, name)
+    error, warning = F.lit("error"), F.lit("warning")
+    met = bindings(fields, case_sensitive).groupBy("lookup").agg(F.collect_list(F.struct("field", "pos", "type")).alias("binds"), F.bool_or("sensitive").alias("sensitive"))
+    # the spellings of one name, in order of their line
+    one = variables.groupBy(*keys, folded(F.col("name"), case_sensitive).alias("lookup")).agg(F.array_sort(F.collect_list(F.struct("line_number", "name", "value"))).alias("all"))
+    named = one.join(met, "lookup", "left").withColumn("sensitive", F.coalesce("sensitive", F.lit(False)))
+
+    def of_name(x: Column) -> Column:
+        plain, public, sensitive = classify.status(x.value) == "plaintext", classify.public_key_name(x["name"]), F.col("sensitive")
+        checks = []
+        if extra_policy != "ignore":
+            checks.append(F.when(F.col("binds").isNull() & ~public, found(F.lit("extra"), error if extra_policy == "forbid" else warning, x["name"], text("Extra variable '%s' not in schema", x["name"]))))
+        if check_encryption:
+            said = text("'%s' looks like a secret but isn't marked sensitive", x["name"])
+            doubt = ~sensitive & plain & ~public
+            checks.append(F.when(sensitive & plain, found(F.lit("unencrypted"), warning, x["name"], text("'%s' is sensitive but not encrypted", x["name"]))))
+            checks.append(F.when(doubt & classify.suspicious_value(x.value), found(F.lit("suspicious_value"), warning, x["name"], said)))
+            checks.append(F.when(doubt & classify.sensitive_name(x["name"]), found(F.lit("suspicious_name"), warning, x["name"], said)))
+        return F.array_compact(F.array(*checks))
+
+    parts = [F.flatten(F.transform("all", of_name))] if extra_policy != "ignore" or check_encryption else []
     if not case_sensitive:
-        out = out.unionByName(as_(collisions(variables, keys), F.lit("collision"), "warning", F.format_string("Case-insensitive name collision for '%s'", F.col("folded")), "folded"))
-    return out
+        several = F.size(F.array_distinct(F.transform("all", lambda x: x["name"]))) > 1
+        parts.append(F.array_compact(F.array(F.when(several, found(F.lit("collision"), warning, F.col("lookup"), text("Case-insensitive name collision for '%s'", F.col("lookup")))))))
+    # of each field the first binding that is set, and then all fields of a file
+    last = F.element_at("all", -1).value
+    bound = named.where(F.col("binds").isNotNull() & (last != "" if ignore_empty else F.lit(True))).select(*keys, last.alias("value"), F.inline("binds"))
+    first = bound.groupBy(*keys, "field").agg(F.min_by(F.struct("value", "type"), "pos").alias("b"))
+    open_ = ~(F.col("b.value").startswith("encrypted:") | F.col("b.value").startswith("ENC["))
+    said = F.when(open_, coerce.message(F.col("b.value"), F.col("b.type")))
+    whole = first.groupBy(*keys).agg(F.collect_list(F.struct("field", said.alias("said"))).alias("bound"))
+    if keys:
+        whole = (files if files is not None else variables).select(*keys).distinct().join(whole, [*keys], "left")
+    wanted = fields.agg(F.collect_list(F.struct("field", "required"))).scalar()
+    whole = whole.withColumn("wanted", wanted).withColumn("bound", F.coalesce("bound", F.array().cast("array<struct<field:string,said:string>>")))
+    gone = F.filter("wanted", lambda w: ~F.exists("bound", lambda x: x.field == w.field))
+    missed = F.transform(gone, lambda w: found(F.when(w.required, "missing_required").otherwise("missing_optional"), F.when(w.required, "error").otherwise("warning"), w.field, text("Missing variable '%s'", w.field)))
+    wrong = F.transform(F.filter("bound", lambda x: x.said.isNotNull()), lambda x: found(F.lit("type"), error, x.field, x.said))
+    out = whole.select(*keys, F.inline(F.concat(missed, wrong)))
+    return named.select(*keys, F.inline(F.concat(*parts))).unionByName(out) if parts else out
 
 
 def verdict(found: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

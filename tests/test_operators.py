@@ -122,6 +122,34 @@ def test_scalars(spark):
     assert col(spark, ["A=encrypted:1", "sops_version=3", "A=1"], classify.backend) == ["dotenvx", "sops", None]
 
 
+@pytest.mark.parametrize("how", [{}, {"extra_policy": "ignore"}, {"extra_policy": "warn", "case_sensitive": True}, {"check_encryption": False, "ignore_empty": True}])
+def test_violations_are_those_of_the_single_checks(spark, how):
+    rnd = random.Random(6)
+    names = ["A", "a", "B", "PORT", "port", "DB_PASSWORD", "API_KEY", "X", "DOTENV_PUBLIC_KEY", "FLAG"]
+    values = ["", "1", "x", "encrypted:y", "ghp_abc", "yes", "ENC[z", "sk-1"]
+    rows = [(f"f{k}", n, rnd.choice(values), i) for k in range(12) for i, n in enumerate(rnd.sample(names, rnd.randrange(len(names))))]
+    v = spark.createDataFrame(rows, "path string, name string, value string, line_number int")
+    files_ = spark.createDataFrame([(f"f{k}",) for k in range(13)], "path string")
+    fields = spark.createDataFrame(
+        [("a", "str", True, True, None, ["A", "B"], None), ("port", "int", True, False, None, [], None), ("flag", "bool", False, False, "1", ["FLAG", "X"], None), ("pw", "str", False, True, None, ["DB_PASSWORD"], None), ("num", "int", True, False, None, ["X"], None)],
+        contract.FIELDS,
+    )
+    k, case, empty = ("path",), how.get("case_sensitive", False), how.get("ignore_empty", False)
+    want = [(r.path, "missing_required" if r.required else "missing_optional", r.field) for r in contract.missing(v, fields, k, case, empty, files_).collect()]
+    want += [(r.path, "type", r.field) for r in contract.mistyped(v, fields, k, case, empty).collect()]
+    if how.get("extra_policy") != "ignore":
+        want += [(r.path, "extra", r["name"]) for r in contract.extra(v, fields, k, case).collect()]
+    if how.get("check_encryption", True):
+        want += [(r.path, "unencrypted", r["name"]) for r in contract.unencrypted(v, fields, k, case).collect()]
+        want += [(r.path, f"suspicious_{r.reason}", r["name"]) for r in contract.unmarked(v, fields, k, case).collect()]
+    if not case:
+        want += [(r.path, "collision", r.folded) for r in contract.collisions(v, k).collect()]
+    got = [(r.path, r.kind, r["name"]) for r in contract.violations(v, fields, k, files=files_, **how).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 40
+    one = v.where("path = 'f3'").drop("path")
+    assert sorted(r.kind for r in contract.violations(one, fields, **how).collect()) == sorted(x[1] for x in want if x[0] == "f3")
+
+
 def test_which_types_are_decoded_from_json():
     from dataclasses import make_dataclass
     from typing import Annotated, Optional

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import NO_ID
 from .common import checkpoint, looked_up, materialise
 from .cover import mix
 from .words import chunks, joined, xxh64
@@ -42,7 +43,7 @@ MOST, ROWS = 200_000, 200_000
 #: Bytes of text worked on at a time, and fingerprint pairs compared at a time.
 TEXT, PAIRS = 1 << 20, 1 << 19
 #: Texts, and shingles of them, that are compared with each other in one go.
-GROUP, SHINGLES = 2000, 1 << 20
+GROUP, SHINGLES = 1000, 1 << 20
 
 
 def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -254,9 +255,13 @@ def alike(own: list[np.ndarray], queries: np.ndarray, similar: float) -> tuple[n
         has = np.zeros((len(own), width), np.float32)
         has[of[a:b], column[a:b] - first] = 1
         shared += has[queries] @ has.T
-    both = n[queries][:, None] + n[None] - shared
-    i, j = np.nonzero(shared / np.maximum(both, 1) >= similar)
-    i = queries[i]
+    left, right = [queries[:0]], [queries[:0]]
+    for k in range(0, len(queries), 128):
+        both = n[queries[k : k + 128]][:, None] + n[None] - shared[k : k + 128]
+        i, j = np.nonzero(shared[k : k + 128] / np.maximum(both, 1) >= similar)
+        left.append(queries[k + i])
+        right.append(j)
+    i, j = np.concatenate(left), np.concatenate(right)
     return i[i != j], j[i != j]
 
 
@@ -282,20 +287,28 @@ def named(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", "node long", "n long", *(f"{f} long" for f in names)]))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, text), once each, of the documents whose ids are wanted (least)."""
-    ids = materialise(wanted.select(F.col("least").alias("__id")).distinct())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
+def _texts(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """(node, family, parts, text), a row for each of members (node, least, family, parts): the text of the document with the id least whose
+    set is the node. An id may be there with several texts, and those without an id are looked up by their sets."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("least"), "text")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist(), TEXT):
-                part = batch.column(0).slice(a, b - a)
-                hashes, doc = sets([(x or "").encode() for x in part.to_pylist()], size)
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(hashes, doc, b - a)), part], names=["node", "text"])
+            for a, b in chunks(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist(), TEXT):
+                part = batch.slice(a, b - a)
+                hashes, doc = sets([(x or "").encode() for x in part.column("text").to_pylist()], size)
+                yield part.set_column(part.schema.get_field_index("own"), "own", pa.array(_nodes(hashes, doc, b - a)))
 
-    # an id may be there with several texts: each is named anew
-    return rows.mapInArrow(name, "node long, text string").dropDuplicates(["node"])
+    def renamed(df: DataFrame) -> DataFrame:
+        df = df.withColumn("own", F.lit(0).cast("long"))
+        return df.mapInArrow(name, df.schema)
+
+    # as at any size: neither side is small, so both are exchanged by id, and equal rows are merged where they meet
+    met = rows.where("least is not null").join(members.where("least is not null").hint("merge"), "least").distinct()
+    with_id = renamed(met).where("own = node").select("node", "family", "parts", "text")
+    nameless = renamed(rows.where("least is null").select("text").distinct()).groupBy(F.col("own").alias("node")).agg(F.first("text").alias("text"))
+    without = nameless.join(members.where("least is null").select("node", "family", "parts"), "node").select("node", "family", "parts", "text")
+    return with_id.unionByName(without)
 
 
 def _within(texts: DataFrame, buckets: int, size: int, similar: float) -> DataFrame:
@@ -380,10 +393,10 @@ def similar_groups(docs: DataFrame, size: int = 5, similar: float = 0.8, bits: i
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / group), F.ceil(F.sum("n") / shingles), F.lit(1)).cast("long")
     sizes = checkpoint(members.groupBy("family").agg(parts.alias("parts"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("all")))
     total = sizes.agg(F.sum("all_n").alias("n"), F.sum("all").alias("all"), F.count_if(F.col("parts") > 1).alias("large")).first()
-    members = checkpoint(looked_up(members, sizes.select("family", "parts"), "family", total["all"] or 0))
+    members = checkpoint(looked_up(members.drop("n"), sizes.select("family", "parts"), "family", total["all"] or 0))
     buckets = max(8, (total.n or 0) // shingles)
     dealt = lambda salt: F.xxhash64("family", F.pmod(F.xxhash64("node", F.lit(salt)), "parts")).alias("part")
-    texts = _texts(docs, members, size).join(members.select("node", "family", "parts"), "node")
+    texts = _texts(docs, members, size)
     if not total.large:
         found = checkpoint(_within(texts.select(dealt(0), "node", F.lit(True).alias("ask"), "text"), buckets, size, similar))
         return _rooted(prints, distinct, components(found)).select("doc_id", "component_id")
@@ -411,11 +424,18 @@ def similar_groups(docs: DataFrame, size: int = 5, similar: float = 0.8, bits: i
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similar: float = 0.8) -> DataFrame:
-    """Of each group of near copies the row whose id names it. Rows without an id stay if their group has none; of equal rows one stays."""
+    """Of each group of near copies the row whose id names it. Rows without an id stay if their group has none; of rows with the same id and
+    text one stays, whatever their other columns."""
     found = similar_groups(docs, size, similar)
-    stay = materialise(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct())
-    rows = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    # rows without an id may be many: they are spread by their texts
+    slots = F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    stay = stay.select(F.coalesce("__id", F.lit(NO_ID)).alias("__id"), F.explode(F.when(F.col("__id").isNull(), slots).otherwise(F.array(F.lit(0).cast("long")))).alias("__slot"))
+    slot = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(64))).otherwise(0)
+    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__slot", slot)
+    # as at any size neither side is small; rows meet by id once, for the join and for merging equal ones
+    kept = rows.join(materialise(stay).hint("merge"), ["__id", "__slot"], "left_semi")
+    return kept.dropDuplicates(["__id", "__slot", "text"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:

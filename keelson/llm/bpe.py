@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 Every match of the pattern is encoded by itself; equal matches of a batch are encoded once, and a
-bounded per-process memory of matches already seen saves most of the work.
+per-process memory of short matches already seen, bounded in number and length, saves most of the work.
 
 Defined results: a null text is an empty one (no ids, empty bytes); repeated rows each give a row; an empty
 table gives an empty one; a column of the input with the name of a new one is replaced.
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of a batch that are worked on at a time, and the most matches that a process remembers.
-ROWS, REMEMBERED = 64, 250_000
+#: Rows of a batch that are worked on at a time, the most matches that a process remembers, and the characters of the longest of them.
+ROWS, REMEMBERED, LONGEST = 64, 250_000, 64
 
 
 def byte_to_char() -> list[str]:
@@ -85,11 +85,14 @@ class Encoder:
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
         new = list(set(chain.from_iterable(found)).difference(self.seen))
+        long: dict[str, bytes] = {}
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             ids = (np.array(e.ids, np.int32).tobytes() for e in self.model.encode_batch_fast(part, add_special_tokens=False))
-            self.seen.update(zip(part, ids, strict=True))
-        return [np.frombuffer(b"".join(map(self.seen.__getitem__, x)), np.int32) for x in found]
+            for match, packed in zip(part, ids, strict=True):
+                (self.seen if len(match) <= LONGEST else long)[match] = packed
+        ids_of = self.seen.__getitem__ if not long else lambda m: long[m] if len(m) > LONGEST else self.seen[m]
+        return [np.frombuffer(b"".join(map(ids_of, x)), np.int32) for x in found]
 
 
 @lru_cache(2)

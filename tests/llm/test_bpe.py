@@ -58,3 +58,11 @@ def test_decode_like_in_one_pass(spark):
 
 def test_empty_table(spark):
     assert bpe.digest(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN).collect() == []
+
+
+def test_long_matches_are_not_remembered(own):
+    x = bpe.Encoder(PATH, P.PATTERN)
+    texts = ["a" * 100_000, "b" * bpe.LONGEST, "short " + "c" * 5000 + " words", "c" * 5000]
+    for _ in range(2):
+        assert [i.tolist() for i in x.encode(texts)] == [own.encode_ordinary(t) for t in texts]
+    assert max(map(len, x.seen)) <= bpe.LONGEST and "b" * bpe.LONGEST in x.seen

@@ -91,22 +91,137 @@ FAMILIES = {
     "cc-by-nc-sa": ("creative commons attribution non ?commercial share ?alike(?: licen[cs]e)?|cc by nc sa", "c", ("1 0", "2 0", "2 5", "3 0", "4 0")),
     "cc-by-nc-nd": ("creative commons attribution non ?commercial no ?deriv\\w+(?: licen[cs]e)?|cc by nc nd", "c", ("1 0", "2 0", "2 5", "3 0", "4 0")),
 }
-#: label: sentences of notices, which say more than a name does.
+#: label: sentences of notices, which say more than a name does. Each is a signature of its own.
 NOTICES = {
-    "mit": ("permission is hereby granted free of charge to any person obtaining a copy", "the software is provided as is without warranty of any kind"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", "neither the name of .{1,80}? nor the names of its contributors"),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
-    "gpl": ("you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", "this program is free software you can redistribute it"),
-    "lgpl": ("under the terms of the gnu (?:lesser|library) general public licen[cs]e",),
-    "agpl": ("under the terms of the gnu affero general public licen[cs]e",),
-    "apache": ("you may not use this file except in compliance with the licen[cs]e", "unless required by applicable law or agreed to in writing software"),
-    "mpl": ("this source code form is subject to the terms of the mozilla public licen[cs]e",),
-    "unlicense": ("this is free and unencumbered software released into the public domain",),
-    "zlib": ("this software is provided as is without any express or implied warranty in no event will the authors",),
-    "cc0": ("to the extent possible under law the .{1,60}? has waived all copyright",),
-    "proprietary": ("all rights reserved", "confidential and proprietary", "unauthorized copying of this file"),
-    "public-domain": ("(?:released|placed|dedicated) (?:in|to|into) the public domain",),
+    "mit": (
+        "permission is hereby granted free of charge to any person obtaining a copy",
+        "the software is provided as is without warranty of any kind",
+        "to deal in the software without restriction including without limitation the rights",
+        "to use copy modify merge publish distribute sublicen[cs]e and or sell copies of the software",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability",
+        "except as contained in this notice the names? of .{1,80}? shall not be used in advertising",
+        "may be freely distributed under the mit licen[cs]e",
+    ),
+    "mit-0": ("permission is hereby granted free of charge to any person obtaining a copy .{1,400}? and to permit persons to whom the software is furnished to do so the software is provided",),
+    "bsd": (
+        "redistribution and use in source and binary forms with or without modification are permitted",
+        "neither the name of .{1,80}? nor the names of its contributors",
+        "redistributions of source code must retain the above copyright notice",
+        "redistributions in binary form must reproduce the above copyright notice",
+        "this software is provided by the copyright holders and contributors as is",
+        "in no event shall the (?:copyright (?:holder|owner)s?|regents) or contributors be liable",
+        "use of this source code is governed by a bsd style licen[cs]e",
+    ),
+    "bsd-4-clause": (
+        "all advertising materials mentioning features or use of this software must display",
+        "this product includes software developed by the university of california",
+    ),
+    "bsd-0-clause": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided",),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        "in no event shall the author be liable for any special direct indirect or consequential damages",
+    ),
+    "gpl": (
+        "you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e",
+        "this program is free software you can redistribute it",
+        "you should have received a copy of the gnu general public licen[cs]e",
+        "this program comes with absolutely no warranty",
+        "everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document",
+        "the gnu general public licen[cs]e is a free copyleft licen[cs]e for software",
+        "under the terms of the gnu gpl",
+        "covered by the gnu general public licen[cs]e with the classpath exception",
+    ),
+    "gpl-2.0": ("either version 2 of the licen[cs]e or at your option any later version", "gnu general public licen[cs]e version 2 only"),
+    "gpl-3.0": ("either version 3 of the licen[cs]e or at your option any later version", "gnu general public licen[cs]e version 3 only"),
+    "lgpl": (
+        "under the terms of the gnu (?:lesser|library) general public licen[cs]e",
+        "you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e",
+        "this library is free software you can redistribute it",
+        "this licen[cs]e incorporates the terms and conditions of version 3 of the gnu general public licen[cs]e",
+    ),
+    "agpl": (
+        "under the terms of the gnu affero general public licen[cs]e",
+        "you should have received a copy of the gnu affero general public licen[cs]e",
+        "remote network interaction use with the gnu general public licen[cs]e",
+    ),
+    "gfdl": ("with no invariant sections no front cover texts and no back cover texts", "permission is granted to copy distribute and or modify this document"),
+    "apache": (
+        "you may not use this file except in compliance with the licen[cs]e",
+        "unless required by applicable law or agreed to in writing software",
+        "you may obtain a copy of the licen[cs]e at",
+        "see the licen[cs]e for the specific language governing permissions and limitations",
+        "licen[cs]ed to the apache software foundation asf under one or more contributor licen[cs]e agreements",
+        "terms and conditions for use reproduction and distribution",
+    ),
+    "apache-1.1": ("this product includes software developed by the apache software foundation",),
+    "mpl": (
+        "this source code form is subject to the terms of the mozilla public licen[cs]e",
+        "if a copy of the mpl was not distributed with this file you can obtain one",
+        "the contents of this file are subject to the mozilla public licen[cs]e",
+        "this source code form is incompatible with secondary licen[cs]es",
+    ),
+    "epl": ("this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e", "the accompanying program is provided under the terms of this eclipse public licen[cs]e"),
+    "cddl": ("the contents of this file are subject to the terms of the common development and distribution licen[cs]e", "you can obtain a copy of the licen[cs]e at usr src opensolaris licen[cs]e"),
+    "eupl": ("licen[cs]ed under the eupl", "this european union public licen[cs]e the eupl applies to the work"),
+    "bsl": ("distributed under the boost software licen[cs]e", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    "busl": ("the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "use of the licensed work in production is not permitted"),
+    "sspl": ("if you make the functionality of the program or a modified version available to third parties as a service",),
+    "elastic": ("you may not provide the software to third parties as a hosted or managed service",),
+    "artistic": ("the intent of this document is to state the conditions under which a package may be copied", "this is free software you can redistribute it and or modify it under the same terms as perl itself"),
+    "unlicense": ("this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors",
+        "the origin of this software must not be misrepresented",
+        "altered source versions must be plainly marked as such and must not be misrepresented",
+    ),
+    "libpng": ("the png reference library is supplied as is",),
+    "openssl": ("this product includes software developed by the openssl project",),
+    "php": ("this product includes php software freely available",),
+    "python": ("psf hereby grants licensee a nonexclusive royalty free world wide licen[cs]e", "this licen[cs]e agreement is between the python software foundation"),
+    "postgresql": ("permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted",),
+    "ncsa": ("to deal with the software without restriction including without limitation the rights",),
+    "upl": ("the above copyright notice and either this complete permission notice or at a minimum a reference to the upl must be included",),
+    "wtfpl": ("everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document and changing it is allowed as long as the name is changed",),
+    "beerware": ("if we meet some day and you think this stuff is worth it you can buy me a beer",),
+    "ofl": ("this font software is licen[cs]ed under the sil open font licen[cs]e", "the font software may be sold as part of a larger software package but no copy of one or more of the font software"),
+    "lppl": ("this work may be distributed and or modified under the conditions of the latex project public licen[cs]e",),
+    "ms-pl": ("if you bring a patent claim against any contributor over patents that you claim are infringed by the software",),
+    "odbl": ("this database is made available under the open database licen[cs]e", "any rights in individual contents of the database are licen[cs]ed under"),
+    "cc0": ("to the extent possible under law the .{1,60}? has waived all copyright", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    "cc-by": ("this work is licen[cs]ed under a creative commons attribution", "you must give appropriate credit provide a link to the licen[cs]e and indicate if changes were made"),
+    "cc-by-sa": ("if you remix transform or build upon the material you must distribute your contributions under the same licen[cs]e",),
+    "cc-by-nc": ("you may not use the material for commercial purposes", "free for non ?commercial use only"),
+    "cc-by-nd": ("if you remix transform or build upon the material you may not distribute the modified material",),
+    "w3c": ("permission to copy and distribute this work with or without modification for any purpose and without fee or royalty is hereby granted",),
+    "commons-clause": ("the grant of rights under the licen[cs]e will not include and the licen[cs]e does not grant to you the right to sell the software", "commons clause licen[cs]e condition"),
+    "json": ("the software shall be used for good not evil",),
+    "curl": ("permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice",),
+    "unicode": ("permission is hereby granted free of charge to any person obtaining a copy of the unicode data files",),
+    "freetype": ("portions of this software are copyright .{1,40}? the freetype project",),
+    "ijg": ("this software is based in part on the work of the independent jpeg group",),
+    "proprietary": (
+        "all rights reserved",
+        "confidential and proprietary",
+        "unauthorized copying of this file",
+        "is (?:the )?(?:confidential and )?proprietary (?:information|property) of",
+        "may not be (?:copied or )?reproduced (?:in any form )?without (?:the )?(?:prior )?(?:express )?written (?:permission|consent)",
+        "trade secrets? and confidential information of",
+        "for internal use only",
+        "no part of this (?:publication|work|file) may be reproduced",
+    ),
+    "eula": ("by (?:installing|using|downloading) (?:this|the) software you (?:agree|accept)", "end user licen[cs]e agreement", "you may not reverse engineer decompile or disassemble"),
+    "public-domain": (
+        "(?:released|placed|dedicated) (?:in|to|into) the public domain",
+        "this (?:file|code|work|software) is in the public domain",
+        "the author disclaims copyright to this source code",
+        "no copyright is claimed",
+        "this is a work of the (?:u s|united states) government and is not subject to copyright protection",
+    ),
 }
+#: Notices that name no licence's text, and so weigh less.
+WEAK = ("proprietary", "public-domain", "eula")
 GRANT = "(?:licen[cs]ed|released|distributed|available|covered|published|provided) (?:under|by|subject to) (?:the )?(?:terms of )?(?:the )?"
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -132,7 +247,7 @@ def signatures() -> list[Signature]:
     add = lambda label, priority, weight, keyword, pattern: out.append(Signature(label, priority, weight, keyword, re.compile(f"(?<= )(?:{pattern})(?= )".encode())))
     for label, patterns in NOTICES.items():
         for p in patterns:
-            add(label, 6, 0.6 if label in ("proprietary", "public-domain") else 0.95, _keyword(p), p)
+            add(label, 6, 0.6 if label in WEAK else 0.95, _keyword(p), p)
     for label, (name, keyword, versions) in FAMILIES.items():
         tag = label.replace("-", " ")
         add(label, 5, 0.99, "spdx", f"spdx licen[cs]e identifier {tag}")

@@ -62,5 +62,29 @@ def test_every_signature_is_gated():
             assert keyword in {k for _, k in gate.iter(f" {one} ")}, (label, one)
 
 
+def sample(pattern):
+    """A text that a pattern matches: first alternatives, without what is optional."""
+    out = re.sub(r"\.\{\d+,\d+\}\?", "x", pattern).replace("[cs]", "c")
+    while "(?:" in out:
+        out = re.sub(r"\(\?:[^()]*\)\?", "", out, count=1) if re.search(r"\(\?:[^()]*\)\?", out) else re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", out, count=1)
+    return " ".join(re.sub(r"[a-z ]\?", "", out).split())
+
+
+def test_every_notice_is_found():
+    gate, by = licenses._gate()
+    notices = [(label, p) for label, patterns in licenses.NOTICES.items() for p in patterns]
+    assert len(notices) > 100 and len(notices) == len(set(p for _, p in notices))
+    for label, p in notices:
+        norm = licenses.normal(f"Some words, then {sample(p).upper()}; and more.")
+        keys = {k for _, k in gate.iter(norm.decode("latin-1"))}
+        assert any(s.label == label and s.priority == 6 and s.regex.search(norm) for k in keys for s in by[k]), (label, p, norm)
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "MIT License"), (1, "MIT License"), (None, None)], "doc_id long, text string")
+    got = sorted(map(tuple, licenses.digest(df).collect()), key=str)
+    assert len(got) == 3 and got[0] == got[1] and got[2][0] is None
+
+
 def test_empty(spark):
     assert licenses.scanned(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -162,9 +162,10 @@ def fix_template(gone: DataFrame, fields: DataFrame, keys: tuple[str, ...] = ())
     return grouped.select(*keys, F.concat_ws("\n", headed("a", "# Missing required variables:"), headed("b", "# Missing optional variables (have defaults):")).alias("template"))
 
 
-def encryption_report(variables: DataFrame, keys: tuple[str, ...] = (), sensitive: DataFrame | None = None) -> DataFrame:
+def encryption_report(variables: DataFrame, keys: tuple[str, ...] = (), sensitive: DataFrame | None = None, names: bool = True) -> DataFrame:
     """By file: sets of encrypted, plaintext and empty names and of plaintext secrets, the ratio, whether all is encrypted, the one
-    backend if there is exactly one, and whether a commit should be blocked. Public keys and metadata don't count."""
+    backend if there is exactly one, and whether a commit should be blocked. Public keys and metadata don't count. Without names the
+    sets are their sizes, of rows with a name each, and nothing is gathered however many a file has."""
     rows = variables.where(~classify.public_key_name(F.col("name")) & ~classify.sops_key(F.col("name")))
     marked = F.lit(False)
     if sensitive is not None:
@@ -173,25 +174,19 @@ def encryption_report(variables: DataFrame, keys: tuple[str, ...] = (), sensitiv
     name, value = F.col("name"), F.col("value")
     state = classify.status(value)
     secret = (state == "plaintext") & (classify.suspicious_value(value, classify.REPORTED_VALUES) | classify.sensitive_name(name, classify.REPORTED_NAMES) | marked)
-    names = lambda test: F.sort_array(F.collect_set(F.when(test, name)))
-    grouped = rows.groupBy(*keys).agg(
-        names(state == "encrypted").alias("encrypted"),
-        names(state == "plaintext").alias("plaintext"),
-        names(state == "empty").alias("empty"),
-        names(secret).alias("plaintext_secrets"),
-        F.sort_array(F.collect_set(classify.value_backend(value))).alias("__backends"),
-    )
-    n = F.size("encrypted") + F.size("plaintext")
+    tests = {"encrypted": state == "encrypted", "plaintext": state == "plaintext", "empty": state == "empty", "plaintext_secrets": secret}
+    counts = [F.count_if(test).alias(f"__{k}") for k, test in tests.items()]
+    sets = [F.sort_array(F.collect_set(F.when(test, name))).alias(k) for k, test in tests.items()] if names else []
+    # there are only so many back ends
+    grouped = rows.groupBy(*keys).agg(*counts, *sets, F.sort_array(F.collect_set(classify.value_backend(value))).alias("__backends"))
+    n = F.col("__encrypted") + F.col("__plaintext")
     return grouped.select(
         *keys,
-        "encrypted",
-        "plaintext",
-        "empty",
-        "plaintext_secrets",
-        F.when(n > 0, F.size("encrypted") / n).otherwise(0.0).alias("ratio"),
-        ((n > 0) & (F.size("plaintext") == 0)).alias("fully_encrypted"),
+        *(F.col(k if names else f"__{k}").alias(k) for k in tests),
+        F.when(n > 0, F.col("__encrypted") / n).otherwise(0.0).alias("ratio"),
+        ((n > 0) & (F.col("__plaintext") == 0)).alias("fully_encrypted"),
         F.when(F.size("__backends") == 1, F.get("__backends", F.lit(0))).alias("backend"),
-        (F.size("plaintext_secrets") > 0).alias("should_block"),
+        (F.col("__plaintext_secrets") > 0).alias("should_block"),
     )
 
 

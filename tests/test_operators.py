@@ -296,6 +296,22 @@ def test_dedup_scenarios(spark):
     assert len(run([f("p", None, "r", "high"), f("p", None, "r", "high"), f("p", None, "s", "high")])) == 2
 
 
+def test_guard_reads_once_what_its_operators_find(spark):
+    rnd = random.Random(8)
+    pat, oauth = token("gh", "p_", "a" * 36), token("gh", "o_", "b" * 36)
+    lines = [f"x {pat}", f"A={pat}", f"B=encrypted:{pat}", f"# {oauth}", f"C=ENC[AES256_GCM,{pat}]", f"{oauth} # keelson:ignore", f"{oauth} // KeelSon:ignore:github-oauth", f"{pat} /* keelson:ignore:other */", "sops_version=3", "# sops_mac=1", f"DOTENV_PUBLIC_KEY={pat}", f"DOTENV_PUBLIC_KEY_CI={oauth}", "", "  ", "k=aB3dE5gH7jK9mN1pQ2sT4vW6xYzZ0", "\u2028", f"'q {oauth}", "sops:"]
+    paths = ["a.txt", "b.env", ".env.prod", "c.secret", "d.clear", "e/.env.keys", "f.lock"]
+    rows = [(f"{i}/{rnd.choice(paths)}", rnd.choice(["\n", "\r\n"]).join(rnd.choices(lines, k=rnd.randrange(6))), rnd.random() < 0.7) for i in range(250)]
+    df = spark.createDataFrame([*rows, ("none.env", None, True)], "path string, content string, tracked boolean")
+    for entropy in (False, True):
+        found = findings.scan(df.where(~F.col("path").endswith(".clear") & F.col("content").isNotNull()), entropy=entropy).unionByName(findings.policy(df.where("content is not null")))
+        found = findings.without_ciphertext(findings.without_clear(found), df)
+        found = findings.without_public_keys(found, dotenv.assignments(dotenv.parse_files(df.select("path", "content"))))
+        found = findings.dedup(findings.suppress(found, dotenv.text_lines(df.select("path", "content")), noisy_paths=("*.lock",)))
+        got = findings.guard(df, entropy=entropy, noisy_paths=("*.lock",))
+        assert sorted(map(str, got.collect())) == sorted(map(str, found.collect())) and got.count() > 100
+
+
 def test_verdicts(spark):
     rows = [finding("b", 2, "r", "low"), finding("a", 9, "r", "high"), finding("a", None, "r", "high"), finding("a", 3, "r", "info")]
     df = spark.createDataFrame(rows, findings.FINDING)

@@ -87,7 +87,8 @@ def matrix(counts: DataFrame, shards: int, seed: int = 0) -> DataFrame:
         rest = F.zip_with("caps", "__left", lambda a, b: a - b)
         both = F.array(part(F.lit(1), half, F.col("__left")), part(half + 1, F.size("sizes") - half, rest))
         nodes = nodes.select(F.explode(F.when(many, both).otherwise(F.array(part(F.lit(1), F.lit(1), F.col("caps"))))).alias("x")).select("x.*")
-        nodes = checkpoint(nodes.repartition(F.element_at("sources", 1)))  # later draws in more tasks, and a plan of bounded depth
+        # later draws in more tasks, of 32 sources or so, and a plan of bounded depth
+        nodes = checkpoint(nodes.repartition(F.element_at("sources", 1)).coalesce(4 + n // 32))
     return nodes.select(F.element_at("sources", 1).alias("source"), F.col("caps").alias("sends"))
 
 

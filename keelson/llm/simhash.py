@@ -202,12 +202,11 @@ def _sent(prints: DataFrame, bands: tuple, points: int | None, names: list[str])
     return prints.select(*names, F.explode(copies).alias("x")).select("x.*", *names)
 
 
-def links(prints: DataFrame, bits: int = 4, bands: tuple = NARROW, points: int = 4, most: int = MOST) -> DataFrame:
+def links(prints: DataFrame, n: int, bits: int = 4, bands: tuple = NARROW, points: int = 4, most: int = MOST) -> DataFrame:
     """(a, b) by node, b < a, such that the components of these pairs are those of all pairs at most bits apart, of which a part
-    differs in one bit at most. prints: distinct fingerprints. There are more shards where one might hold more than most of them;
+    differs in one bit at most. prints: n distinct fingerprints. There are more shards where one might hold more than most of them;
     small shards are worked on together."""
     names = ["node", *(c for c in prints.columns if c[0] == "f")]
-    n = prints.count()
     fine = n * SHARE.get(points, 1.0) > most
     each = len(bands) * (2 + max(width for _, _, width in bands) // 2 if fine else 1 + (1 << (points - 1)))
     sent = _sent(prints, bands, None if fine else points, names).withColumn("bucket", F.pmod(F.xxhash64("band", "shard"), F.lit(max(8, n * each // ROWS))))
@@ -337,10 +336,10 @@ def _within(texts: DataFrame, buckets: int, size: int, similar: float) -> DataFr
     return keyed.select("bucket", "part", "node", "ask", "text").groupBy("bucket").applyInArrow(local, "a long, b long").where("a <> b")
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def components(pairs: DataFrame, nodes: int) -> DataFrame:
     """(node, root): the smallest node of each one's component, by alternating large and small stars until nothing changes. Centres
-    with very many links are spread over tasks."""
-    edges = checkpoint(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    with very many links are spread over tasks. nodes: how many there are at most."""
+    edges = checkpoint(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), nodes)
     before = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -350,19 +349,19 @@ def components(pairs: DataFrame) -> DataFrame:
         # what is larger than a node goes to the least of what the node is linked with; that is the node itself if nothing is less
         least = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
         large = looked_up(edges, least, "b", n).select("a", F.coalesce("m", "b").alias("b"))
-        large = checkpoint(large.distinct())
+        large = checkpoint(large.distinct(), n)
         # what is less than a node goes to the least of that, and so does the node
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = looked_up(large, least, "a", n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = checkpoint(small.unionByName(least.withColumnRenamed("m", "b")).distinct())
+        edges = checkpoint(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), n)
 
 
-def _rooted(prints: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+def _rooted(prints: DataFrame, distinct: DataFrame, found: DataFrame, nodes: int) -> DataFrame:
     """prints with the component_id of its node, the least id of all nodes that found (node, root) puts together."""
-    rooted = checkpoint(distinct.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    rooted = checkpoint(distinct.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), nodes)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = checkpoint(looked_up(rooted.select("node", "root"), least, "root", rooted.count()).select("node", "component_id"))
-    return looked_up(prints, of, "node", prints.count())
+    of = checkpoint(looked_up(rooted.select("node", "root"), least, "root", nodes).select("node", "component_id"), nodes)
+    return looked_up(prints, of, "node", prints.count(), stored=True)
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4, bands: tuple = NARROW, points: int = 4, text: str = "text") -> DataFrame:
@@ -370,9 +369,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4, bands: tuple
     words = 1 + max(word for word, _, _ in bands)
     prints = checkpoint(fingerprinted(docs, size, words, text))
     names = [f"f{w}" for w in range(words)]
-    distinct = checkpoint(prints.groupBy("node", *names).agg(F.min("doc_id").alias("least")))
-    found = components(links(distinct.drop("least"), bits, bands, points))
-    return _rooted(prints, distinct, found).drop("node")
+    distinct = checkpoint(prints.groupBy("node", *names).agg(F.min("doc_id").alias("least")), prints.count())
+    nodes = distinct.count()
+    found = components(links(distinct.drop("least"), nodes, bits, bands, points), nodes)
+    return _rooted(prints, distinct, found, nodes).drop("node")
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similar: float = 0.8, bits: int = 60, group: int = GROUP, shingles: int = SHINGLES) -> DataFrame:
@@ -386,41 +386,42 @@ def similar_groups(docs: DataFrame, size: int = 5, similar: float = 0.8, bits: i
     text and comparison of parts, however many pairs are alike, and no part is larger than its bound."""
     names = [f"f{w}" for w in range(4)]
     prints = checkpoint(named(docs, size))
-    distinct = checkpoint(prints.groupBy("node", "n", *names).agg(F.min("doc_id").alias("least")))
-    family = components(links(distinct.select("node", *names), bits, WIDE, 2))
-    family = checkpoint(family.unionByName(family.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "family"))
+    distinct = checkpoint(prints.groupBy("node", "n", *names).agg(F.min("doc_id").alias("least")), prints.count())
+    nodes = distinct.count()
+    family = components(links(distinct.select("node", *names), nodes, bits, WIDE, 2), nodes)
+    family = checkpoint(family.unionByName(family.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "family"), nodes)
     members = distinct.join(family, "node").select("node", "n", "least", "family")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / group), F.ceil(F.sum("n") / shingles), F.lit(1)).cast("long")
-    sizes = checkpoint(members.groupBy("family").agg(parts.alias("parts"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("all")))
+    sizes = checkpoint(members.groupBy("family").agg(parts.alias("parts"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("all")), nodes)
     total = sizes.agg(F.sum("all_n").alias("n"), F.sum("all").alias("all"), F.count_if(F.col("parts") > 1).alias("large")).first()
-    members = checkpoint(looked_up(members.drop("n"), sizes.select("family", "parts"), "family", total["all"] or 0))
+    most = total["all"] or 0
+    members = checkpoint(looked_up(members.drop("n"), sizes.select("family", "parts"), "family", most), most)
     buckets = max(8, (total.n or 0) // shingles)
     dealt = lambda salt: F.xxhash64("family", F.pmod(F.xxhash64("node", F.lit(salt)), "parts")).alias("part")
+    within = lambda texts: checkpoint(_within(texts, buckets, size, similar).coalesce(8 + buckets))
     texts = _texts(docs, members, size)
     if not total.large:
-        found = checkpoint(_within(texts.select(dealt(0), "node", F.lit(True).alias("ask"), "text"), buckets, size, similar))
-        return _rooted(prints, distinct, components(found)).select("doc_id", "component_id")
-    texts = materialise(texts)
-    found = _within(texts.select(dealt(0), "node", F.lit(True).alias("ask"), "text"), buckets, size, similar)
+        found = within(texts.select(dealt(0), "node", F.lit(True).alias("ask"), "text"))
+        return _rooted(prints, distinct, components(found, most), nodes).select("doc_id", "component_id")
+    texts = materialise(texts.coalesce(8 + buckets))
     crowds = texts.where("parts > 1")
+    found = within(texts.select(dealt(0), "node", F.lit(True).alias("ask"), "text"))
     for salt in (1, 2):
-        found = found.unionByName(_within(crowds.select(dealt(salt), "node", F.lit(True).alias("ask"), "text"), buckets, size, similar))
-    found = checkpoint(found)
+        found = found.unionByName(within(crowds.select(dealt(salt), "node", F.lit(True).alias("ask"), "text")))
     # of each large family, the texts outside its largest group against all of it
-    of = crowds.select("node", "family", "parts").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of = checkpoint(of)
+    of = crowds.select("node", "family", "parts").join(components(found, most), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = checkpoint(of, most)
     main = of.groupBy("family", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("family").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    rest = looked_up(of, main, "family", total["all"]).where("root <> main").select("node", "family", "parts")
-    rest = checkpoint(rest)
+    rest = checkpoint(looked_up(of, main, "family", most).where("root <> main").select("node", "family", "parts"), most)
     asked = rest.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / group).alias("turns"))
     turn = F.pmod(F.xxhash64("node", F.lit(3)), "turns")
     cell = lambda turn, part: F.xxhash64("family", turn, part).alias("part")
-    every = looked_up(crowds, asked, "family", total["all"]).where("turns is not null").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    every = looked_up(crowds, asked, "family", most).where("turns is not null").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
     targets = every.select(cell(F.col("turn"), F.pmod(F.xxhash64("node", F.lit(0)), "parts")), "node", F.lit(False).alias("ask"), "text")
-    asking = looked_up(rest.join(crowds.select("node", "text"), "node"), asked, "family", total["all"]).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asking = looked_up(rest.join(crowds.select("node", "text"), "node"), asked, "family", most).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     queries = asking.select(cell(turn, F.col("cell")), "node", F.lit(True).alias("ask"), "text")
-    last = _within(targets.unionByName(queries), buckets, size, similar)
-    return _rooted(prints, distinct, components(checkpoint(found.unionByName(last)))).select("doc_id", "component_id")
+    found = found.unionByName(within(targets.unionByName(queries)))
+    return _rooted(prints, distinct, components(found, most), nodes).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similar: float = 0.8) -> DataFrame:
@@ -434,7 +435,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similar: float = 0.8) -> DataFra
     slot = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(64))).otherwise(0)
     rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__slot", slot)
     # as at any size neither side is small; rows meet by id once, for the join and for merging equal ones
-    kept = rows.join(materialise(stay).hint("merge"), ["__id", "__slot"], "left_semi")
+    kept = rows.join(stay.hint("merge"), ["__id", "__slot"], "left_semi")
     return kept.dropDuplicates(["__id", "__slot", "text"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

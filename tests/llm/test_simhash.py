@@ -68,7 +68,7 @@ def test_groups_like_brute_force(spark):
     signed = [x - (1 << 64) if x >> 63 else x for x in distinct]
     df = spark.createDataFrame([(x, x) for x in signed], "node long, f0 long")
     for points, most in ((3, 1 << 40), (5, 1 << 40), (4, 1)):  # the last has every bit for a point
-        rows = simhash.components(simhash.links(df, points=points, most=most)).collect()
+        rows = simhash.components(simhash.links(df, len(distinct), points=points, most=most), len(distinct)).collect()
         root = {r.node % (1 << 64): r.root % (1 << 64) for r in rows}
         want = brute_components(dict(enumerate(distinct)))
         mine, theirs = {}, {}
@@ -206,7 +206,7 @@ def test_components_of_a_star_and_a_chain(spark):
     star = [(0, i) for i in range(1, 3000)]
     chain = [(i, i + 1) for i in range(5000, 5200)]
     other = [(9000, 8999), (9001, 8999), (9002, 9001)]
-    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(star + chain + other, "a long, b long")).collect()}
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(star + chain + other, "a long, b long"), 4000).collect()}
     assert got == {i: 0 for i in range(1, 3000)} | {i: 5000 for i in range(5001, 5201)} | {i: 8999 for i in (9000, 9001, 9002)}
 
 

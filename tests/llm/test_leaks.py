@@ -105,3 +105,12 @@ def test_documents_and_empty(spark):
     assert 0 < sum(r.leaked for r in rows) < len(rows) / 5
     assert leaks.digest(docs.limit(0), bench).collect() == []
     assert not any(r.leaked for r in leaks.digest(docs, bench.limit(0)).collect())
+
+
+def test_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b one two three c"), (1, "a b one two three c"), (None, None), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "one two three"), (5, "one two three"), (None, "one two three")], "item_id long, text string")
+    got = sorted(map(str, map(tuple, leaks.digest(docs, bench).collect())))
+    assert len(got) == 4 and got[0] == got[1] and got[2] == got[3]
+    r = leaks.digest(docs, bench).where("doc_id = 1").first()
+    assert (r.n_items, r.item_id, r.score, r.leaked) == (3, 5, 1.0, True)

@@ -38,3 +38,9 @@ def test_documents_like_greedy(spark):
         n = [brute(w, starts, rest) for w in words]
         assert (r.n_words, r.n_tokens, r.n_unknown) == (len(words), sum(n) + n.count(0), n.count(0))
     assert pieces.counted(df.limit(0), PATH).collect() == []
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "some words"), (1, "some words"), (None, None), (None, None)], "doc_id long, text string")
+    got = sorted(map(str, map(tuple, pieces.counted(df, PATH).collect())))
+    assert len(got) == 4 and got[0] == got[1] and got[2] == got[3]

@@ -322,6 +322,9 @@ def test_verdicts(spark):
     assert [code(df), code(df, fail_on="critical"), code(df, runs=runs, fail_on="critical"), code(df.where("severity = 'info'")), code(df.limit(0), runs=runs), code(df.limit(0))] == [2, 0, 5, 0, 5, 0]
     assert [(r.severity, r.path, r.line_number) for r in findings.ordered(df).collect()] == [("high", "a", 9), ("high", "a", None), ("low", "b", 2), ("info", "a", 3)]
     assert {r.severity: r.n for r in findings.by_severity(df).collect()} == {"critical": 0, "high": 2, "medium": 0, "low": 1, "info": 1}
+    some = spark.createDataFrame([("a", "x"), ("b", "y" * 50), ("c", None), ("d", "")], "path string, content string")
+    assert [tuple(r) for r in findings.run_of(some, most_bytes=20).collect()] == [("native", None, 2)]
+    assert json.loads(render.scan_json(df, findings.run_of(some)).first().report)["scanners"] == [{"scanner": "native", "files_scanned": 3}]
     report = json.loads(render.scan_json(df, runs).first().report)
     assert report["exit_code"] == 2 and report["summary"]["high"] == 2 and len(report["findings"]) == 4
     doc = json.loads(render.sarif(df.withColumn("path", F.lit("/r/a b.env")), "/r").first().sarif)

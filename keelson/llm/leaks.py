@@ -69,6 +69,23 @@ def align(item: np.ndarray, words: np.ndarray) -> int:
     return best
 
 
+class Known:
+    """Sorted distinct hashes, with a table of their low bits that tells most others apart in one look."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.mask = np.uint64((1 << max(16, (4 * len(hashes)).bit_length())) - 1)
+        self.table = np.zeros(int(self.mask) + 1, bool)
+        self.table[hashes & self.mask] = True
+
+    def find(self, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where known ones are, and the place of each."""
+        at = np.nonzero(self.table[among & self.mask])[0]
+        place = np.searchsorted(self.hashes, among[at])
+        sure = self.hashes[np.minimum(place, len(self.hashes) - 1)] == among[at] if len(self.hashes) else place < 0
+        return at[sure], place[sure]
+
+
 class Items:
     """A part of the benchmark: the words of each item, and its seeds."""
 
@@ -107,18 +124,16 @@ class Items:
         self.rare, self.rare_from = np.unique(flat[order], return_index=True)
         self.rare_from = np.append(self.rare_from, len(flat))
         self.rare_of = np.repeat(some, [len(r) for r in rare])[order]
+        self.rare_ones, self.seed_ones = Known(self.rare), Known(np.unique(self.seeds))
         return self
 
     def spans(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, from, to): the ranges of these words where an item may have the score of a leak, all of them."""
-        if not len(self.rare):
-            return
-        place = np.minimum(np.searchsorted(self.rare, words), len(self.rare) - 1)
-        at = np.nonzero(self.rare[place] == words)[0]
+        at, place = self.rare_ones.find(words)
         if not len(at):
             return
-        first = self.rare_from[place[at]]
-        n = self.rare_from[place[at] + 1] - first
+        first = self.rare_from[place]
+        n = self.rare_from[place + 1] - first
         item = self.rare_of[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         at = np.repeat(at, n)
         order = np.argsort(item, kind="stable")  # at stays sorted within an item
@@ -159,12 +174,13 @@ class Items:
 
     def hits(self, grams: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, from, to): the ranges around n-grams that are seeds, also of what is less than a leak."""
-        first, last = np.searchsorted(self.seeds, grams, "left"), np.searchsorted(self.seeds, grams, "right")
-        at = np.nonzero((last > first) & (grams > 0))[0]
+        at, _ = self.seed_ones.find(grams)
+        at = at[grams[at] > 0]
         if not len(at):
             return
-        n = last[at] - first[at]
-        seed = np.repeat(first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first, last = np.searchsorted(self.seeds, grams[at], "left"), np.searchsorted(self.seeds, grams[at], "right")
+        n = last - first
+        seed = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at, item, place = np.repeat(at, n), self.of[seed], self.place[seed]
         order = np.lexsort((at, item))
         at, item, place = at[order], item[order], place[order]
@@ -180,20 +196,20 @@ class Items:
 
 def _documents(docs: DataFrame, items: Items) -> np.ndarray:
     """In how many documents each known n-gram and word is."""
-    known = docs.sparkSession.sparkContext.broadcast(items.known)  # of one part: bounded by PART
+    shared = docs.sparkSession.sparkContext.broadcast(Known(items.known))  # of one part: bounded by PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = known.value
-        total = np.zeros(len(grams), np.int64)
+        known = shared.value
+        n = len(known.hashes)
+        total = np.zeros(n, np.int64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in chunks([len(t or "") for t in texts], 1 << 20):
                 w, g, starts = hashed(texts[a:b])
                 for h in (w, g):
-                    at = np.minimum(np.searchsorted(grams, h), max(0, len(grams) - 1))
-                    hit = np.nonzero(grams[at] == h)[0] if len(grams) else at[:0]
-                    pairs = np.unique(np.searchsorted(starts, hit, "right") * len(grams) + at[hit])
-                    total += np.bincount(pairs % max(1, len(grams)), minlength=len(grams))
+                    hit, place = known.find(h)
+                    pairs = np.unique(np.searchsorted(starts, hit, "right") * n + place)
+                    total += np.bincount(pairs % max(1, n), minlength=n)
         some = np.nonzero(total)[0]
         yield pa.RecordBatch.from_pydict({"gram": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
 

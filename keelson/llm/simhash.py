@@ -25,7 +25,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import NO_ID
 from .common import checkpoint, looked_up, materialise
 from .cover import mix
 from .words import chunks, joined, xxh64
@@ -286,10 +285,8 @@ def named(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(["doc_id long", "node long", "n long", *(f"{f} long" for f in names)]))
 
 
-def _texts(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """(node, family, parts, text), a row for each of members (node, least, family, parts): the text of the document with the id least whose
-    set is the node. An id may be there with several texts, and those without an id are looked up by their sets."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("least"), "text")
+def _with_node(df: DataFrame, size: int) -> DataFrame:
+    """Adds own, the node that names the set of each row's text."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,14 +295,18 @@ def _texts(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
                 hashes, doc = sets([(x or "").encode() for x in part.column("text").to_pylist()], size)
                 yield part.set_column(part.schema.get_field_index("own"), "own", pa.array(_nodes(hashes, doc, b - a)))
 
-    def renamed(df: DataFrame) -> DataFrame:
-        df = df.withColumn("own", F.lit(0).cast("long"))
-        return df.mapInArrow(name, df.schema)
+    df = df.withColumn("own", F.lit(0).cast("long"))
+    return df.mapInArrow(name, df.schema)
 
+
+def _texts(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """(node, family, parts, text), a row for each of members (node, least, family, parts): the text of the document with the id least whose
+    set is the node. An id may be there with several texts, and those without an id are looked up by their sets."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("least"), "text")
     # as at any size: neither side is small, so both are exchanged by id, and equal rows are merged where they meet
     met = rows.where("least is not null").join(members.where("least is not null").hint("merge"), "least").distinct()
-    with_id = renamed(met).where("own = node").select("node", "family", "parts", "text")
-    nameless = renamed(rows.where("least is null").select("text").distinct()).groupBy(F.col("own").alias("node")).agg(F.first("text").alias("text"))
+    with_id = _with_node(met, size).where("own = node").select("node", "family", "parts", "text")
+    nameless = _with_node(rows.where("least is null").select("text").distinct(), size).groupBy(F.col("own").alias("node")).agg(F.first("text").alias("text"))
     without = nameless.join(members.where("least is null").select("node", "family", "parts"), "node").select("node", "family", "parts", "text")
     return with_id.unionByName(without)
 
@@ -357,10 +358,10 @@ def components(pairs: DataFrame, nodes: int) -> DataFrame:
 
 
 def _rooted(prints: DataFrame, distinct: DataFrame, found: DataFrame, nodes: int) -> DataFrame:
-    """prints with the component_id of its node, the least id of all nodes that found (node, root) puts together."""
+    """prints with the root of its node and the component_id, the least id of all nodes that found (node, root) puts together."""
     rooted = checkpoint(distinct.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), nodes)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = checkpoint(looked_up(rooted.select("node", "root"), least, "root", nodes).select("node", "component_id"), nodes)
+    of = checkpoint(looked_up(rooted.select("node", "root"), least, "root", nodes).select("node", "root", "component_id"), nodes)
     return looked_up(prints, of, "node", prints.count(), stored=True)
 
 
@@ -372,11 +373,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4, bands: tuple
     distinct = checkpoint(prints.groupBy("node", *names).agg(F.min("doc_id").alias("least")), prints.count())
     nodes = distinct.count()
     found = components(links(distinct.drop("least"), nodes, bits, bands, points), nodes)
-    return _rooted(prints, distinct, found, nodes).drop("node")
+    return _rooted(prints, distinct, found, nodes).drop("node", "root")
 
 
-def similar_groups(docs: DataFrame, size: int = 5, similar: float = 0.8, bits: int = 60, group: int = GROUP, shingles: int = SHINGLES) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id reachable by links between texts whose sets of shingles are so similar.
+def _groups(docs: DataFrame, size: int, similar: float, bits: int, group: int, shingles: int) -> DataFrame:
+    """similar_groups() with the node of each text and the root of its group, which is the smallest node in it.
 
     Fingerprints of 256 bits tell who may belong together, the sets decide. Sets at 0.8 differ in 39 bits, give or take 6, and those at 0.9
     in 26; whoever is linked by up to 60, directly or by others, is one family, and the 16 parts of the fingerprint miss half a
@@ -402,7 +403,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similar: float = 0.8, bits: i
     texts = _texts(docs, members, size)
     if not total.large:
         found = within(texts.select(dealt(0), "node", F.lit(True).alias("ask"), "text"))
-        return _rooted(prints, distinct, components(found, most), nodes).select("doc_id", "component_id")
+        return _rooted(prints, distinct, components(found, most), nodes).select("doc_id", "node", "root", "component_id")
     texts = materialise(texts.coalesce(8 + buckets))
     crowds = texts.where("parts > 1")
     found = within(texts.select(dealt(0), "node", F.lit(True).alias("ask"), "text"))
@@ -421,22 +422,28 @@ def similar_groups(docs: DataFrame, size: int = 5, similar: float = 0.8, bits: i
     asking = looked_up(rest.join(crowds.select("node", "text"), "node"), asked, "family", most).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     queries = asking.select(cell(turn, F.col("cell")), "node", F.lit(True).alias("ask"), "text")
     found = found.unionByName(within(targets.unionByName(queries)))
-    return _rooted(prints, distinct, components(found, most), nodes).select("doc_id", "component_id")
+    return _rooted(prints, distinct, components(found, most), nodes).select("doc_id", "node", "root", "component_id")
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similar: float = 0.8, bits: int = 60, group: int = GROUP, shingles: int = SHINGLES) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable by links between texts whose sets of shingles are so similar."""
+    return _groups(docs, size, similar, bits, group, shingles).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similar: float = 0.8) -> DataFrame:
-    """Of each group of near copies the row whose id names it. Rows without an id stay if their group has none; of rows with the same id and
-    text one stays, whatever their other columns."""
-    found = similar_groups(docs, size, similar)
-    # rows without an id may be many: they are spread by their texts
-    slots = F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    stay = stay.select(F.coalesce("__id", F.lit(NO_ID)).alias("__id"), F.explode(F.when(F.col("__id").isNull(), slots).otherwise(F.array(F.lit(0).cast("long")))).alias("__slot"))
-    slot = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(64))).otherwise(0)
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__slot", slot)
+    """Of each group of near copies the row whose id names it. Rows without an id go if their group has one with an id, and else one of them
+    stays; of rows with the same id and text one stays, whatever their other columns."""
+    found = _groups(docs, size, similar, 60, GROUP, SHINGLES)
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.where("doc_id is not null").withColumn("__id", F.col("doc_id").cast("long"))
     # as at any size neither side is small; rows meet by id once, for the join and for merging equal ones
-    kept = rows.join(stay.hint("merge"), ["__id", "__slot"], "left_semi")
-    return kept.dropDuplicates(["__id", "__slot", "text"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = rows.join(stay.hint("merge"), "__id", "left_semi").dropDuplicates(["__id", "text"]).drop("__id")
+    alone = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull() & (F.col("node") == F.col("root"))).select(F.col("node").alias("__node")).distinct()
+    own = {"own": "__own"} if "own" in docs.columns else {}
+    nameless = _with_node(docs.where("doc_id is null").dropDuplicates(["text"]).withColumnsRenamed(own), size)
+    nameless = nameless.join(alone, F.col("own") == F.col("__node"), "left_semi").dropDuplicates(["own"]).drop("own").withColumnsRenamed({v: k for k, v in own.items()})
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*columns).unionByName(nameless.select(*columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
